@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corvane.llm import mixing, sharding, simhash, url_filters
+from corvane.llm import mixing, sharding, simhash, substrings, url_filters
 
 OPERATORS = {
     "op1_mixing_sources": mixing,
     "op2_url_filters": url_filters,
+    "op5_substring_dedup": substrings,
     "op8_simhash_near_dedup": simhash,
     "op10_sharding": sharding,
 }
