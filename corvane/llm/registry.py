@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
-from corvane.llm import chat, mixing, quality, sharding, simhash, substrings, url_filters
+from corvane.llm import (
+    chat,
+    licenses,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    token_files,
+    url_filters,
+)
 
 OPERATORS = {
     "op1_mixing_sources": mixing,
     "op2_url_filters": url_filters,
     "op3_quality_rules": quality,
+    "op4_token_files": token_files,
     "op5_substring_dedup": substrings,
     "op7_chat_formatting": chat,
     "op8_simhash_near_dedup": simhash,
+    "op9_license_scans": licenses,
     "op10_sharding": sharding,
 }
 
