@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corvane.llm import (
     chat,
+    decontaminate,
     licenses,
     mixing,
     quality,
@@ -20,6 +21,7 @@ OPERATORS = {
     "op3_quality_rules": quality,
     "op4_token_files": token_files,
     "op5_substring_dedup": substrings,
+    "op6_benchmark_decontamination": decontaminate,
     "op7_chat_formatting": chat,
     "op8_simhash_near_dedup": simhash,
     "op9_license_scans": licenses,
