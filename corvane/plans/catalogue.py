@@ -32,3 +32,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+from corvane.plans import search  # noqa: E402, F401  (registers its queries)
