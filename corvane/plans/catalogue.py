@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from corvane.plans import search  # noqa: E402, F401  (registers its queries)
+from corvane.plans import analysis, corpus, search  # noqa: E402, F401  (they register their queries)
