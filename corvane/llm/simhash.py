@@ -9,9 +9,9 @@ all. Both emit the variant that lies half way between them. Variants are shuffle
 one fingerprint emitted end there. Candidates are verified on all 64 bits, so no link is lost or made up.
 
 Copies share a fingerprint, and fingerprints are made distinct first, so a group of copies, however
-large, is one row here. A variant with two fingerprints is verified as it is aggregated. The few with
-more are sorted into runs and verified in blocks, each run giving edges that span it (at most one less
-than it has members), never all pairs. Runs longer than ``block`` are dealt out by pairs of blocks.
+large, is one row here. A variant of two fingerprints is verified by itself. The few of more are sorted
+into runs and verified in blocks, each run giving edges that span it (at most one less than it has
+members), never all pairs. Runs longer than ``block`` are dealt out by pairs of blocks.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked like any other. Fewer
 than three words make one shingle of what there is. Repeated rows and ids fall in one component. Null
@@ -153,18 +153,14 @@ def _edges_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def near_fingerprint_edges(fps: DataFrame, block: int = 4096) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp): enough of the links within the radius to join
     all that links join. Every link lies in some run, and each run's edges span its links."""
-    variants = ball_variants(fps)
+    # One exchange of all variants; what two or more fingerprints emit is kept, all else ends here.
+    number = F.count("*").over(Window.partitionBy("variant"))
     shared = materialise(
-        variants.repartition(F.col("variant"))
-        .groupBy("variant")
-        .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-        .filter("n > 1"),
-        "simhash-shared",
+        ball_variants(fps).repartition(F.col("variant")).withColumn("n", number).filter("n > 1"), "simhash-shared"
     )
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    twos = shared.filter("n = 2").filter(apart <= RADIUS).select("a", "b")
-    many = shared.filter("n > 2").select("variant", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks"))
-    members = variants.join(many, "variant")
+    ends = shared.filter("n = 2").groupBy("variant").agg(F.min("fp").alias("a"), F.max("fp").alias("b"))
+    twos = ends.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
+    members = shared.filter("n > 2").withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = members.withColumn("own", own).select(
         "variant", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "fp"
