@@ -15,7 +15,7 @@ def lenient_date(c: Column) -> Column:
     plain = F.translate(F.regexp_extract(text, r"^\d{4}[-./]\d{1,2}[-./]\d{1,2}", 0), "./", "--")
     rest = F.regexp_replace(text, r"^\d{4}[-./]\d{1,2}[-./]\d{1,2}", "")
     fits = (plain != "") & ((rest == "") | rest.rlike(r"^[T ]\d{2}:\d{2}"))
-    return F.when(fits, F.try_to_date(plain, F.lit("yyyy-M-d")))
+    return F.when(fits, F.try_to_date(plain, "yyyy-M-d"))
 
 
 def effective_year(date: Column, stated_year: Column) -> Column:
