@@ -77,7 +77,7 @@ def aggregate_evaluations(evaluations: DataFrame, criteria: list[str], digits: i
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("criterion", F.round("mean", digits).alias("s"))))).alias(
             "criterion_scores"
         ),
-        F.round(F.avg(F.round("mean", digits)), digits).alias("composite"),
+        F.round(F.avg(F.round("mean", digits).cast(f"decimal(12,{digits})")), digits).cast("double").alias("composite"),
         F.round(F.sum("c") / F.nullif(F.sum("n"), F.lit(0)), digits).alias("confidence"),
         F.array_sort(F.collect_set("criterion")).alias("observed"),
     )

@@ -21,7 +21,7 @@ _EVAL = f"""evaluations AS (SELECT event_id, user_id % 50 AS run, user_id AS can
 _GATED = f"""{_EVAL}, gated AS (SELECT * REPLACE (CASE WHEN n_evidence = 0 AND score > 60 THEN 60.0::DOUBLE ELSE score END AS score,
   CASE WHEN n_evidence = 0 AND score > 60 THEN least(confidence, 0.5::DOUBLE) ELSE confidence END AS confidence), n_evidence = 0 AND score > 60 AS capped FROM evaluations)"""
 _AGG = f"""{_GATED}, each AS (SELECT run, candidate_id, criterion, round(avg(score), 4) AS s, sum(confidence) AS c, count(confidence) AS n FROM gated GROUP BY ALL),
-agg AS (SELECT run, candidate_id, round(avg(s), 4) AS composite, round(sum(c) / sum(n), 4) AS confidence, 7 - count(*) AS missing,
+agg AS (SELECT run, candidate_id, ((2 * sum((s * 10000)::BIGINT) + count(*)) // (2 * count(*)))::DOUBLE / 10000 AS composite, round(sum(c) / sum(n), 4) AS confidence, 7 - count(*) AS missing,
   sum(s::DECIMAL(12,4) * CASE criterion WHEN 'policy_relevance' THEN 0.20 WHEN 'novelty' THEN 0.20 WHEN 'public_evidence_sufficiency' THEN 0.15 WHEN 'policy_impact' THEN 0.15 ELSE 0.10 END) AS raw FROM each GROUP BY ALL)"""
 
 
