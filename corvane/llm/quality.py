@@ -1,7 +1,8 @@
 """Quality rules: counts with fixed limits, then distribution divergence.
 
 Each document gives two histograms: its characters by class and its common words. A reference for each
-language adds up those of all documents of the language that the fixed limits let pass. A document is
+language is the mean of those of all its documents that the fixed limits let pass, each document
+weighing the same, so that a few long ones do not set it. A document is
 rejected if the Jensen-Shannon distance (base 2, 0 to 1) of a histogram to its language's reference is
 over a limit, where the document is long enough for the distance to mean something.
 
@@ -121,11 +122,15 @@ def base_failed(f: str) -> Column:
 def language_references(featured: DataFrame, lang: str, f: str) -> DataFrame:
     """Rows (lang_key, classes, common) for the most frequent languages; lang_key null: all documents. The rows
     go through the driver: MAX_LANGUAGES + 1 at most."""
+    passing = featured.filter(~base_failed(f))
+    # Shares in millionths: every document weighs the same, and whole numbers add up alike in any order.
+    total = lambda name: F.aggregate(F.col(f"{f}.{name}"), F.lit(0).cast("long"), lambda a, v: a + v)
+    passing = passing.withColumns({f"__{name}": F.greatest(total(name), F.lit(1)) for name in ("classes", "common")})
+    share = lambda name, i: F.round(F.col(f"{f}.{name}")[i] * 1e6 / F.col(f"__{name}")).cast("long")
     sums = [
-        F.array(*[F.sum(F.col(f"{f}.{name}")[i]) for i in range(size)]).alias(name)
+        F.array(*[F.sum(share(name, i)) for i in range(size)]).alias(name)
         for name, size in (("classes", N_CLASSES), ("common", N_WORD_BINS))
     ]
-    passing = featured.filter(~base_failed(f))
     by_lang = passing.groupBy(_lang_key(lang).alias("lang_key")).agg(F.count("*").alias("n"), *sums)
     top = by_lang.orderBy(F.desc("n"), "lang_key").limit(MAX_LANGUAGES).drop("n").collect()
     whole = passing.agg(*sums).collect() if len(top) == MAX_LANGUAGES else []
