@@ -38,7 +38,7 @@ from corvane.storage import materialise, scratch_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 #: Words whose ids a worker remembers; then it forgets them all.
-MAX_WORDS = 500_000
+MAX_WORDS = 1_500_000
 _NULL_ID = -(1 << 63)
 _MARK = chr(0xE000)
 
@@ -72,7 +72,7 @@ class Encoder:
         if len(self.words) > MAX_WORDS:
             self.words.clear()
         tails = [w for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
-        bare = list((new - set(tails)) | {w[:-1] for w in tails} | {b",", b"."})
+        bare = new.difference(tails).union([w[:-1] for w in tails], (b",", b"."))
         bare = [w for w in bare if w not in self.words]
         mark = _MARK.encode()
         plain = [w for w in bare if mark not in w]
@@ -97,15 +97,16 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the encoder's width."""
         split = [None if "<|" in t else t.encode("utf-8", "replace").lower().split() for t in texts]
-        new = {w for words in split if words for w in words} - self.words.keys()
-        if new:
-            self.learn(new)
-            if any(w not in self.words for words in split if words for w in words):
-                self.learn({w for words in split if words for w in words})
-        get = self.words.__getitem__
+        # One look-up a word; None marks words that are new.
+        get = self.words.get
+        found = [None if words is None else list(map(get, words)) for words in split]
+        behind = [i for i, ids in enumerate(found) if ids and None in ids]
+        if behind:
+            self.learn({w for i in behind for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+            for i in behind:
+                found[i] = [self.words[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
         return [
-            self.whole(text) if words is None else b"".join(map(get, words))
-            for text, words in zip(texts, split, strict=True)
+            self.whole(text) if ids is None else b"".join(ids) for text, ids in zip(texts, found, strict=True)
         ]
 
 
