@@ -60,13 +60,17 @@ def _template_rows(phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[s
     return rows
 
 
-def word_pairs(text: Column) -> Column:
-    """Each word with the next, then a closing mark whose position is the number of words."""
+def words_of(text: Column) -> Column:
     # lower() also folds letters beyond ASCII, which no template holds; only the Kelvin sign would become ASCII.
-    low = F.when(text.contains("K"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
-    words = F.concat(F.regexp_extract_all(F.coalesce(low, F.lit("")), F.lit(WORD), F.lit(0)), F.array(F.lit("")))
-    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    return F.zip_with(words, after, lambda a, b: F.coalesce(F.concat(a, F.lit(" "), b), F.lit(_END)))
+    low = F.when(text.contains("\u212a"), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    return F.regexp_extract_all(F.coalesce(low, F.lit("")), F.lit(WORD), F.lit(0))
+
+
+def word_pairs(words: Column) -> Column:
+    """Each word with the next, then a closing mark whose position is the number of words."""
+    closed = F.concat(words, F.array(F.lit("")))
+    after = F.concat(F.slice(closed, F.lit(2), F.size(words)), F.array(F.lit(None).cast("string")))
+    return F.zip_with(closed, after, lambda a, b: F.coalesce(F.concat(a, F.lit(" "), b), F.lit(_END)))
 
 
 def scan_licenses(
@@ -82,8 +86,9 @@ def scan_licenses(
     templates = spark.createDataFrame(
         _template_rows(phrases, notices), "pair string, template int, place int, label string, n_pairs int, base boolean"
     ).withColumn("hash", F.xxhash64("pair"))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("own"), F.posexplode(word_pairs(F.col(text))))
-    rows = rows.toDF("id", "own", "at", "said")
+    # Words are a column of their own: a generator would work out its argument once for each mention.
+    split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("own"), words_of(F.col(text)).alias("words"))
+    rows = split.select("id", "own", F.posexplode(word_pairs(F.col("words")))).toDF("id", "own", "at", "said")
     votes = (
         rows.join(F.broadcast(templates), F.xxhash64("said") == F.col("hash"))
         .filter("said = pair")
