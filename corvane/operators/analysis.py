@@ -114,7 +114,7 @@ def analyse(df: DataFrame, request: Request) -> DataFrame:
         F.count_if(~both).alias("missing_pair_count"),
         F.var_pop(pair(value)).alias("__v1"),
         F.var_pop(pair(second)).alias("__v2"),
-        F.corr(pair(value), pair(second)).alias("__r"),
+        F.covar_pop(pair(value), pair(second)).alias("__c"),
     )
     fault = (
         F.when(F.col("paired_count") < 2, "insufficient_data")
@@ -123,6 +123,6 @@ def analyse(df: DataFrame, request: Request) -> DataFrame:
     return found.select(
         "paired_count",
         "missing_pair_count",
-        F.when(fault.isNull(), F.col("__r")).alias("pearson_correlation"),
+        F.when(fault.isNull(), F.try_divide("__c", F.sqrt(F.col("__v1")) * F.sqrt(F.col("__v2")))).alias("pearson_correlation"),
         fault.alias("error"),
     )

@@ -68,7 +68,7 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
     v = F.transform(vector, lambda x: x.cast("double"))
     dot = total(F.zip_with(v, q, lambda a, b: a * b))
     norm = F.sqrt(total(F.transform(v, lambda a: a * a))) * F.lit(sum(x * x for x in query) ** 0.5)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / F.nullif(norm, F.lit(0.0))))
+    return F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / norm)))
 
 
 def nearest(
