@@ -108,13 +108,16 @@ def measure(text: str | None) -> tuple:
     )
 
 
-@F.arrow_udf(FEATURES)
-def _features(texts: pa.Array) -> pa.Array:
+def _measure_all(texts: pa.Array) -> pa.Array:
     columns = list(zip(*(measure(t.as_py()) for t in texts), strict=True)) or [[] for _ in range(7)]
     arrays = [pa.array(c, t.type) for c, t in zip(columns, _TYPE, strict=True)]
     return pa.StructArray.from_arrays(arrays, fields=list(_TYPE))
 
 
+#: Called nondeterministic so that the optimiser does not work it out again for a filter on its result.
+_features = F.arrow_udf(_measure_all, FEATURES).asNondeterministic()
+
+
 def base_failed(f: str) -> Column:
     return (F.col(f"{f}.n_words") < 50) | (F.col(f"{f}.n_repeat_words") * 100 > F.col(f"{f}.n_words") * 50)
 
