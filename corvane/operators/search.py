@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators.ranking import best_per_group, rank_all, top_ranked
+from corvane.storage import materialise
 
 #: Weights of the search fields, and the constant of rank fusion.
 FIELD_WEIGHTS = {"title": 4.0, "abstract": 3.0, "keywords": 3.5, "content": 1.0}
@@ -34,22 +37,32 @@ def lexical_search(
     schema = [F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_fields")]
     if not terms or (limit is not None and limit <= 0):
         return docs.select(id_col, *schema, F.array().cast("array<string>").alias("matched_terms")).limit(0)
-    texts = docs.withColumns({f"__{f}": X.search_text(F.coalesce(c, F.lit(""))) for f, c in fields.items()})
-    somewhere = {t: X.contains_any(F.concat_ws("\n", *[f"__{f}" for f in fields]), [t]) for t in terms}
-    stats = texts.agg(
-        F.count("*").alias("__n"), *[F.count_if(somewhere[t]).alias(f"__df{i}") for i, t in enumerate(terms)]
+    texts = docs.select(
+        id_col,
+        (allowed if allowed is not None else F.lit(True)).alias("__allowed"),
+        *[X.search_text(F.coalesce(c, F.lit(""))).alias(f"__{f}") for f, c in fields.items()],
+    )
+    # Text is read once: what remains is a count for each field and term.
+    counts = {(f, i): F.col(f"__tf_{f}_{i}") for f in fields for i in range(len(terms))}
+    counted = materialise(
+        texts.select(
+            id_col,
+            "__allowed",
+            *[X.term_count(F.col(f"__{f}"), terms[i]).cast("long").alias(f"__tf_{f}_{i}") for f, i in counts],
+        ),
+        "term-counts",
     )
-    ranked = texts.filter(allowed) if allowed is not None else texts
-    scored = ranked.crossJoin(F.broadcast(stats))  # one row
-    score, in_field, in_term = F.lit(0.0), {f: F.lit(False) for f in fields}, [F.lit(False)] * len(terms)
+    somewhere = [reduce(or_, [counts[f, i] > 0 for f in fields]) for i in range(len(terms))]
+    stats = counted.agg(F.count("*").alias("__n"), *[F.count_if(c).alias(f"__df{i}") for i, c in enumerate(somewhere)])
+    scored = counted.filter("__allowed").filter(reduce(or_, somewhere)).crossJoin(F.broadcast(stats))  # one row
+    score, in_field, in_term = F.lit(0.0), {}, somewhere
     for f in fields:
-        for i, term in enumerate(terms):
-            tf = X.term_count(F.col(f"__{f}"), term)
+        in_field[f] = reduce(or_, [counts[f, i] > 0 for i in range(len(terms))])
+        for i in range(len(terms)):
+            tf = counts[f, i]
             idf = F.ln((F.col("__n") + 1).cast("double") / (F.col(f"__df{i}") + 1)) + 1.0
             part = F.lit(float(weights[f])) * (F.lit(1.0) + F.ln(tf.cast("double"))) * idf
             score = score + F.when(tf > 0, part).otherwise(0.0)
-            in_field[f] = in_field[f] | (tf > 0)
-            in_term[i] = in_term[i] | (tf > 0)
     named = lambda pairs: F.filter(F.array(*[F.when(c, n) for n, c in pairs]), lambda v: v.isNotNull())
     found = scored.select(
         id_col,

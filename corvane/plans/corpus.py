@@ -9,7 +9,7 @@ from corvane.functions import dates as D
 from corvane.functions import text as X
 from corvane.operators import corpus as C
 from corvane.plans.catalogue import register
-from corvane.sources.tables import table
+from corvane.sources.tables import spread, table
 
 LIMITS = C.Thresholds(min_characters=800, min_hangul_ratio=0.0, min_filled_pages=0.5)
 _BAD = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{00A0}\x{00AD}\x{061C}\x{1680}\x{180E}\x{2000}-\x{200F}\x{2028}-\x{202F}\x{205F}-\x{206F}\x{3000}\x{FEFF}\x{FFF9}-\x{FFFB}\x{E000}-\x{F8FF}]"
@@ -30,7 +30,7 @@ verdicts AS (SELECT j.*, CASE WHEN owner < doc_id THEN owner END AS duplicate_of
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from corvane.operators import golden as Q
 from corvane.operators import review as R
 from corvane.operators import scoring as S
 from corvane.plans.catalogue import register
-from corvane.sources.tables import table
+from corvane.sources.tables import spread, table
 
 CRITERIA = sorted(S.WEIGHTS)
 #: Criterion of an event: by its id, so that each candidate misses some.
@@ -264,7 +264,7 @@ SELECT a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.t, b.t))::DOUBLE
 WHERE len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) >= 0.7""",
 )
 def golden_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = table(spark, sf_dir, "documents").select("doc_id", X.content_tokens(F.split_part("text", F.lit("\n"), F.lit(1))).alias("tokens"))
+    heads = spread(table(spark, sf_dir, "documents")).select("doc_id", X.content_tokens(F.split_part("text", F.lit("\n"), F.lit(1))).alias("tokens"))
     return Q.jaccard_pairs(heads, "doc_id", "tokens", 0.7).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -277,7 +277,7 @@ SELECT question, page, hits, place::INT AS place FROM r WHERE place <= 3""",
 )
 def golden_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question"), X.content_tokens(F.col("text")).alias("tokens"))
-    pages = table(spark, sf_dir, "documents").select(
+    pages = spread(table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("page"), F.length("text").alias("size"), X.content_tokens(F.col("text")).alias("tokens")
     )
     return Q.page_proposals(questions, pages, 3).select("question", "page", "hits", "place")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import search as S
 from corvane.plans.catalogue import register
-from corvane.sources.tables import table
+from corvane.sources.tables import spread, table
 
 _NORM = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^0-9a-z가-힣]+', ' ', 'g'))"
 
@@ -38,7 +38,7 @@ FROM scored WHERE score > 0 ORDER BY scored.score DESC, doc_id {limit}"""
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _shown(found: DataFrame) -> DataFrame:
