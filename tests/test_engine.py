@@ -235,3 +235,39 @@ def test_streams(spark, tmp_path):
     run = L.latest_decisions(stream).writeStream.format("memory").queryName("latest").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {(r["run_id"], r["candidate_id"]): r["decision"] for r in rows(spark.table("latest"))}["r", "a"] == "approve"
+
+
+def test_evaluators_are_retried(spark):
+    from corvane.operators import issues as I
+
+    calls = {}
+
+    def flaky(text):
+        calls[text] = calls.get(text, 0) + 1
+        if calls[text] < 2:
+            raise TimeoutError
+        return 70.0
+
+    def broken(text):
+        raise ValueError(text)
+
+    df = spark.createDataFrame([("a", "x"), ("b", "y")], "candidate_id string, text string").coalesce(1)
+    got = {(r["candidate_id"], r["criterion"]): (r["score"], r["attempts"], r["failure"]) for r in rows(I.evaluate(df, {"novelty": flaky, "fit": broken}, 3))}
+    assert got["a", "novelty"] == (70.0, 2, None) and got["b", "fit"] == (None, 3, "ValueError")
+
+
+def test_novelty_cap(spark):
+    from corvane.operators import issues as I
+
+    candidates = spark.createDataFrame([("c", "Drone Policy Study!", 90.0), ("d", "Other", 10.0)], "candidate_id string, title string, novelty double")
+    similar = spark.createDataFrame([("c", 1, "p2", "drone policy study"), ("c", 0, "p1", "nothing alike"), ("d", 0, "p1", "other")], "candidate_id string, pos int, publication_id string, title string")
+    got = {r["candidate_id"]: (r["novelty"], r["duplicate_of"]) for r in rows(I.cap_novelty(candidates, similar))}
+    assert got == {"c": (20.0, "p2"), "d": (10.0, "p1")}
+
+
+def test_pdf_pages(spark):
+    from corvane.sources.pdf import parse_pdf_pages
+
+    df = spark.createDataFrame([("a", b"%PDF-1.4\n%%EOF"), ("b", b"text")], "path string, content binary")
+    got = {r["path"]: r["failure"] for r in rows(parse_pdf_pages(df))}
+    assert got["b"] == "invalid_pdf_header" and got["a"] in ("reader_unavailable", "corrupt_structure")
