@@ -101,7 +101,9 @@ def number_slots(sharded: DataFrame, narrow: list[str], n_rows: int) -> DataFram
 def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``shard``, ``grown_shard`` and ``slot``."""
     sharded = assign_shards(docs, n_shards, key).withColumn("__crc", F.crc32(F.coalesce(F.col(text), F.lit(""))))
-    return number_slots(sharded, [key, "__crc"], docs.count()).drop("__crc")
+    numbered = number_slots(sharded, [key, "__crc"], docs.count())
+    added = ["shard", "slot", "grown_shard"]
+    return numbered.select(*[c for c in docs.columns if c not in added], *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
