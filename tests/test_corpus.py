@@ -97,7 +97,7 @@ FORUM = """국방논단
 인공지능과 국방: 새로운 길
 김연구 책임연구위원
 한국국방연구원 군사발전연구센터
-kim@kida.re.kr"""
+kim@example.org"""
 JOURNAL = """국방정책연구 2024년 여름(40-2)
 https://doi.org/10.22883/jdps.2024.40.2.001.
 한반도 안보의 길 1)
@@ -136,7 +136,7 @@ def test_metadata(spark):
     people = {}
     for r in sorted(rows(authors), key=lambda r: r["ordinal"]):
         people.setdefault(r["doc"], []).append((r["name"], r["role"], r["affiliation"], r["email"], r["confidence"]))
-    assert people["f"] == [("김연구", "책임연구위원", "한국국방연구원 군사발전연구센터", "kim@kida.re.kr", 0.94)]
+    assert people["f"] == [("김연구", "책임연구위원", "한국국방연구원 군사발전연구센터", "kim@example.org", 0.94)]
     assert people["j"] == [("홍길동", "교수", "국방대학교 안보학과", "hong@kndu.ac.kr", 0.98), ("이몽룡", None, None, None, 0.88)]
     assert [p[0] for p in people["r"]] == ["김철수", "이영희", "박민수"]
     assert people["p"] == [("최저자", None, None, None, 0.3)]
