@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import decontaminate, mixing, quality, sharding, simhash
+from corvane.llm import decontaminate, mixing, near_copies, quality, sharding
 from corvane.storage import materialise
 
 N_SHARDS = 40
@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group of near copies."""
-    return simhash.keep_representatives(docs)
+    """Keep the document of the smallest id of each group of near copies: fingerprints within 3 bits, or 0.8 or more
+    of the 5-word shingles in common."""
+    return near_copies.keep_distinct(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

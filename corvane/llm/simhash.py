@@ -190,7 +190,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: that of its smallest id; all columns stay. Among rows that repeat
     this id, one of those with the smallest text hash stays."""
-    classes = simhash_components(docs, id_col, text)
+    return keep_heads(docs, simhash_components(docs, id_col, text), id_col, text)
+
+
+def keep_heads(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is the component_id of ``classes``, one an id."""
     kept = classes.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
     rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
