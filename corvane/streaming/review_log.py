@@ -43,5 +43,5 @@ def latest_decisions(events: DataFrame) -> DataFrame:
 
 def rejudge_stream(measured: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Stored measurements, as they arrive, under a static table of thresholds (version, min_characters)."""
-    joined = measured.crossJoin(F.broadcast(thresholds.limit(100)))  # a few versions
+    joined = measured.crossJoin(F.broadcast(thresholds))  # a few versions, all of them
     return joined.withColumn("low_text", F.col("characters") < F.col("min_characters"))
