@@ -40,16 +40,33 @@ END_ID = 1
 #: Words whose ids a worker remembers; then it forgets them all.
 MAX_WORDS = 1_500_000
 _NULL_ID = -(1 << 63)
-_MARK = chr(0xE000)
+#: The kinds of normaliser and pre-tokenizer steps, and the pattern, under which words can be encoded
+#: one by one: white space parts pieces and is dropped, case is folded, and no step looks beyond white space.
+_WORDWISE_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
+_WORDWISE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _encoders: dict[str, Encoder] = {}
 
 
+def _wordwise(spec: dict) -> bool:
+    """Whether a tokenizer's file says that a text's ids are those of its lower-cased words in order."""
+    steps = [(spec.get(k) or {}) for k in ("normalizer", "pre_tokenizer")]
+    before, split = steps[0].get("normalizers", []), steps[1].get("pretokenizers", [])
+    if ([s["type"] for s in before], [s["type"] for s in split]) != _WORDWISE_STEPS or spec.get("post_processor"):
+        return False
+    return (
+        (before[1]["pattern"], before[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and split[0]["pattern"] == {"Regex": _WORDWISE_PATTERN}
+        and (split[0]["behavior"], split[0]["invert"]) == ("Removed", True)
+        and not split[1]["add_prefix_space"]
+    )
+
+
 class Encoder:
-    """Encodes texts word by word, each word once.
+    """Encodes texts word by word, each word once, where the tokenizer allows it; else whole texts.
 
-    The tokenizer drops white space and never joins across it, folds case, and ends a piece where
-    letters end, so a text's ids are those of its words in order, and those of a word with a comma
+    A tokenizer allows it if it drops white space, never joins across it, folds case, and ends a piece where
+    letters end: then a text's ids are those of its words in order, and those of a word with a comma
     or full stop after a letter are the word's and then the mark's. Texts that may hold special
     tokens, whose case matters, are encoded whole.
     """
@@ -63,7 +80,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[bytes, bytes] = {}
-        self.mark = self.whole(_MARK)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        special = [t["content"] for t in spec.get("added_tokens") or []]
+        self.wordwise = _wordwise(spec) and all(t.startswith("<|") for t in special)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -74,28 +94,22 @@ class Encoder:
         tails = [w for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
         bare = new.difference(tails).union([w[:-1] for w in tails], (b",", b"."))
         bare = [w for w in bare if w not in self.words]
-        mark = _MARK.encode()
-        plain = [w for w in bare if mark not in w]
-        if plain:
-            text = f" {_MARK} ".join([w.decode("utf-8", "replace") for w in plain])
-            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            ids = np.array(ids, self.kind)
-            width = len(self.mark) // ids.itemsize
-            last = np.flatnonzero(ids == np.frombuffer(self.mark, self.kind)[-1])
-            raw, size = ids.tobytes(), ids.itemsize
-            starts = [0, *((last + 1) * size).tolist()]
-            ends = [*((last + 1 - width) * size).tolist(), len(raw)]
-            if len(starts) != len(plain):
-                raise ValueError("the tokenizer does not keep words apart")
-            self.words.update(zip(plain, [raw[s:e] for s, e in zip(starts, ends, strict=True)], strict=True))
-        for word in bare:
-            if mark in word:
-                self.words[word] = self.whole(word.decode("utf-8", "replace"))
+        if bare:
+            # Every id carries the number of the word it comes from, so nothing is read from the ids themselves.
+            found = self.tokenizer.encode(
+                [w.decode("utf-8", "replace") for w in bare], is_pretokenized=True, add_special_tokens=False
+            )
+            raw, size = np.array(found.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
+            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(bare))) * size
+            starts = [0, *ends.tolist()]
+            self.words.update(zip(bare, [raw[s:e] for s, e in zip(starts, starts[1:])], strict=True))
         for word in tails:
             self.words[word] = self.words[word[:-1]] + self.words[word[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of the encoder's width."""
+        if not self.wordwise:
+            return [self.whole(t) for t in texts]
         split = [None if "<|" in t else t.encode("utf-8", "replace").lower().split() for t in texts]
         # One look-up a word; None marks words that are new.
         get = self.words.get
@@ -171,6 +185,12 @@ def _offset_writer(uri: str):
     return run
 
 
+def _one_a_task(parts: DataFrame, n_parts: int) -> DataFrame:
+    """The rows of ``parts`` over as many tasks: a row stands for a whole file, and without a number rows so small
+    would be put together."""
+    return parts.repartition(max(n_parts, 1), "part")
+
+
 def write_token_files(
     docs: DataFrame, uri: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -185,9 +205,8 @@ def write_token_files(
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     based = sizes.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
     schema = "part long, n_docs long, n_ids long, width long, base long"
-    spread = based.repartition("part").mapInArrow(_offset_writer(uri), schema)
-    parts = materialise(spread, "token-parts")
-    n_parts, width = parts.agg(F.count("*"), F.coalesce(F.max("width"), F.lit(0))).first()
+    n_parts, width = sizes.agg(F.count("*"), F.coalesce(F.max("width"), F.lit(0))).first()
+    parts = materialise(_one_a_task(based, n_parts).mapInArrow(_offset_writer(uri), schema), "token-parts")
     about = {"width": width, "end_id": end_id, "tokenizer": os.path.basename(tokenizer), "parts": n_parts}
     _put(files, f"{root}/dataset.json", json.dumps(about).encode())
     return parts
@@ -237,7 +256,7 @@ def _digester(uri: str, step: int = 10_000):
 
 def digest_token_files(parts: DataFrame, uri: str) -> DataFrame:
     """Columns (doc_id, start, n_tokens, ids_crc32) of every document, read from the files."""
-    return parts.repartition("part").mapInArrow(
+    return _one_a_task(parts, parts.count()).mapInArrow(
         _digester(uri), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 

@@ -25,6 +25,7 @@ from corvane.llm import (
     token_files,
     url_filters,
 )
+from corvane.storage import scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -256,6 +257,31 @@ def test_encoder_equals_the_library(text):
         assert ids == encoder.whole(text)
 
 
+def test_encoder_takes_every_character():
+    """Words whose ids are lone bytes, and every character of two or three bytes once."""
+    encoder = token_files.Encoder("word_bpe_49k.json")
+    assert encoder.wordwise
+    chars = [chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts = ["가 一 р ऀ", "가격은 얼마 \ue000 x\ue000", "".join(chars[:5000])]
+    texts += [" ".join(chars[i : i + 4000]) for i in range(0, len(chars), 4000)]
+    texts += [" ".join(f"a{c}b,{c}." for c in chars[i : i + 4000]) for i in range(0, len(chars), 4000)]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+
+
+def test_cased_tokenizers_encode_whole_texts():
+    encoder = token_files.Encoder("byte_bpe_50k.json")
+    assert not encoder.wordwise
+    texts = ["The  end.", "THE end", "", "a\n\nb "]
+    assert encoder.encode(texts) == [encoder.whole(t) for t in texts]
+
+
+def test_parts_are_read_back_side_by_side(spark, docs_dir):
+    docs = spark.read.parquet(f"{docs_dir}/documents.parquet")
+    uri = scratch_path(spark, "token-test")
+    parts = token_files.write_token_files(docs, uri)
+    assert token_files.digest_token_files(parts, uri).rdd.getNumPartitions() == max(parts.count(), 1)
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(token_files, "MAX_WORDS", 5)
     encoder = token_files.Encoder("word_bpe_49k.json")
