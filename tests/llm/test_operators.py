@@ -377,19 +377,52 @@ def test_lcs():
         assert decontaminate.lcs_length(a, b) == plain(a, b)
 
 
-def test_latent_space_holds_the_passages(spark):
-    """Cosines in the latent space are those of the full vectors."""
+def test_latent_basis_is_that_of_the_passages(spark):
+    """The range finder against a plain SVD of the same TF-IDF rows: directions of corpus passages, fewer than these."""
     import random
 
     rng = random.Random(5)
-    texts = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(20)) for _ in range(15)]
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    r = decontaminate.build_retriever(docs, list(enumerate(texts)))
-    full = np.zeros((15, len(r.vocabulary.hashes)))
+    topics = [[f"t{t}w{j}" for j in range(30)] for t in range(6)]
+    texts = [" ".join(rng.choice(topics[i % 6]) for _ in range(40)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    n, df = decontaminate.feature_frequencies(docs, "text")
+    held = Counter(int(f) for t in texts for f in set(decontaminate.features(decontaminate._hashes([t.encode()])[0])))
+    assert n == 200 and {f: int(df[f]) for f in np.flatnonzero(df)} == held
+    idf = np.log((n + 1) / (df + 1)) + 1e-3
+    rows = docs.selectExpr("id AS mark", "1.0D AS weight", "text").repartition(3)
+    basis = decontaminate.latent_basis(rows, idf, 6)
+    full = np.zeros((200, decontaminate.FEATURES))
     for i, t in enumerate(texts):
-        words, weight = decontaminate._weights(r.vocabulary.places(decontaminate._hashes([t.encode()])[0])[1], r.idf)
-        full[i, words] = weight / np.linalg.norm(weight)
-    assert np.allclose(full @ full.T, r.latent @ r.latent.T, atol=1e-3)
+        _, f, w = decontaminate._rows_of([t.encode()], idf)
+        full[i, f] = w
+    used = np.flatnonzero(df)
+    right = np.linalg.svd(full[:, used], full_matrices=False)[2][:6]
+    assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-4)
+    assert np.allclose(np.linalg.svd(right @ basis[used])[1], 1, atol=0.02)
+
+
+def test_sampled_passages_are_bounded_and_stable(spark, monkeypatch):
+    """Copies count once, and another partitioning picks the same passages."""
+    monkeypatch.setattr(decontaminate, "SAMPLE", 40)
+    texts = [" ".join(f"w{i}x{j}" for j in range(i % 150)) for i in range(400)] + ["the same copy of one text"] * 4000
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    one = {tuple(r) for r in decontaminate.sample_passages(docs.repartition(2), 400, "text").collect()}
+    two = {tuple(r) for r in decontaminate.sample_passages(docs.repartition(7), 400, "text").collect()}
+    assert one == two and 15 < len(one) < 80
+    assert all(0 < len(t.split()) <= 64 for _, t in one)
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_item_ids_of_any_type(spark, kind):
+    """Null, repeated and string ids; one text that holds items of null and of other ids."""
+    words = [[f"i{k}w{j}" for j in range(12)] for k in range(3)]
+    items = [(None, " ".join(words[0])), ("5", " ".join(words[1])), ("5", " ".join(words[2])), (None, " ")]
+    bench = spark.createDataFrame(items, "item_id string, text string").selectExpr(f"CAST(item_id AS {kind}) item_id", "text")
+    docs = spark.createDataFrame([(1, " ".join(sum(words, []))), (2, "nothing"), (3, None)], "id long, text string")
+    got = decontaminate.find_contamination(docs, bench)
+    assert dict(got.dtypes)["matches"].startswith(f"array<struct<item:{kind},")
+    found = {r["id"]: sorted([str(m["item"]) for m in r["matches"]]) for r in got.collect()}
+    assert found == {1: ["5", "5", "None"], 2: [], 3: []}
 
 
 # 7. Chat
