@@ -30,11 +30,13 @@ def running_total(
     out: str,
     digits: int,
     compact: DataFrame | None = None,
+    bucket: Column | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the same group that come earlier by
     (``hash_col``, ``order``). Group columns and the hash must not be null. ``compact`` may be a
-    narrower version of ``df`` with the same rows, from which the bucket totals are taken."""
-    bucket = F.substring(F.col(hash_col), 1, digits)
+    narrower version of ``df`` with the same rows, from which the bucket totals are taken. ``bucket`` may stand for the
+    leading digits: it rises with ``hash_col`` and holds few rows of a group."""
+    bucket = F.substring(F.col(hash_col), 1, digits) if bucket is None else bucket
     totals = (
         (compact if compact is not None else df)
         .groupBy(*group, bucket.alias("__bucket"))
