@@ -12,7 +12,8 @@ joins end there; the others are verified pair by pair inside a task, dealt out b
 :func:`keep_distinct` links texts by this rule and, as operator 8 does, by fingerprints within its radius.
 
 Edge cases: null, empty and blank texts have the empty set and are linked like any other. Fewer than five words
-make one shingle of what there is. Null ids never become a component's id unless it has no other.
+make one shingle of what there is. Rows are told apart by id and text, so repeated and null ids lose no text; a row
+without an id stays only if its component has no other.
 """
 
 from __future__ import annotations
@@ -169,31 +170,30 @@ def overlap_edges(heads: DataFrame, docs: DataFrame, text: str, block: int = 102
     return stars.union(spread.mapInArrow(_edges_of_runs, "a long, b long"))
 
 
-def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns (id_col, component_id), one row for each row of ``docs``: components of both kinds of links."""
+def near_copy_members(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns (id, th, root), one row for each row of ``docs``: its id, the hash of its text, and a name of the
+    component, by both kinds of links, that it is in."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     marked = materialise(rows.mapInArrow(_marks, f"id {kind}, th long, fp long, set long, bands array<long>"), "overlap-marks")
     heads = materialise(
-        marked.groupBy("set").agg(F.min("id").alias("head"), F.min("th").alias("th"), F.any_value("bands").alias("bands")),
-        "overlap-heads",
+        marked.groupBy("set").agg(F.min("th").alias("th"), F.any_value("bands").alias("bands")), "overlap-heads"
     )
     # One set stands for all of a fingerprint; links between fingerprints are links between these.
     fps = marked.select("fp", "set").distinct()
     first = materialise(fps.groupBy("fp").agg(F.min("set").alias("first")), "overlap-fps")
     same = fps.join(first, "fp").filter("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b"))
-    near = simhash.near_fingerprint_edges(first.select("fp"))
+    dealt = first.select("fp").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4, "fp")
+    near = simhash.near_fingerprint_edges(dealt)
     near = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
     edges = same.union(near).union(overlap_edges(heads, docs, text))
     nodes = materialise(
         connected_components(edges).select(F.col("node").alias("set"), F.col("component").alias("root")), "overlap-nodes"
     )
-    rooted = heads.select("set", "head").join(nodes, "set", "left").withColumn("root", F.coalesce("root", "set"))
-    least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
-    classes = rooted.join(least, "root").select("set", "component_id")
-    return marked.join(classes, "set").select(F.col("id").alias(id_col), "component_id")
+    joined = marked.select("id", "th", "set").join(nodes, "set", "left")
+    return joined.select("id", "th", F.coalesce("root", "set").alias("root"))
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: that of its smallest id; all columns stay."""
-    return simhash.keep_heads(docs, near_copy_components(docs, id_col, text), id_col, text)
+    """One row of ``docs`` for each component, that of its smallest id; all columns stay."""
+    return simhash.keep_heads(docs, near_copy_members(docs, id_col, text), id_col, text)

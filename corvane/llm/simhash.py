@@ -14,8 +14,9 @@ into runs and verified in blocks, each run giving edges that span it (at most on
 members), never all pairs. Runs longer than ``block`` are dealt out by pairs of blocks.
 
 Edge cases: null, empty and blank texts have fingerprint zero and are linked like any other. Fewer
-than three words make one shingle of what there is. Repeated rows and ids fall in one component. Null
-ids never become a component's id unless it has no other. Extra columns are not read.
+than three words make one shingle of what there is. Repeated rows fall in one component; rows that share an id but
+not a text are documents of their own. Null ids never become a component's id unless it has no other.
+:func:`keep_representatives` keeps exactly one row of each component, all its columns. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -73,11 +74,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns (id_col, fp): the fingerprint of each row as a signed 64-bit number."""
+    """Columns (id_col, th, fp): a hash of each row's text, and its fingerprint as a signed 64-bit number."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(
-        _fingerprints, f"id {kind}, fp long"
-    ).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    return rows.mapInArrow(_fingerprints, f"id {kind}, th long, fp long").withColumnRenamed("id", id_col)
 
 
 def _signed(value: int) -> int:
@@ -171,34 +171,53 @@ def near_fingerprint_edges(fps: DataFrame, block: int = 4096) -> DataFrame:
     return twos.union(spread.mapInArrow(_edges_of_runs, "a long, b long"))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns (id_col, fp, component_id), one row for each row of ``docs``."""
+def _rooted(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id_col, th, fp) of each row of ``docs``, and (fp, head, root) of each fingerprint: the smallest id that has
+    it and the component that it is in."""
     marked = materialise(fingerprint_documents(docs, id_col, text), "simhash-fps")
     heads = materialise(marked.groupBy("fp").agg(F.min(id_col).alias("head")), "simhash-heads")
+    # A table of fingerprints is small in bytes and large in variants: dealt out before it is exploded.
+    dealt = heads.select("fp").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4, "fp")
     nodes = materialise(
-        connected_components(near_fingerprint_edges(heads.select("fp"))).select(
+        connected_components(near_fingerprint_edges(dealt)).select(
             F.col("node").alias("fp"), F.col("component").alias("root")
         ),
         "simhash-nodes",
     )
-    rooted = heads.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return marked, heads.join(nodes, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Columns (id_col, fp, component_id), one row for each row of ``docs``."""
+    marked, rooted = _rooted(docs, id_col, text)
     least = rooted.groupBy("root").agg(F.min("head").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select(id_col, "fp", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component: that of its smallest id; all columns stay. Among rows that repeat
-    this id, one of those with the smallest text hash stays."""
-    return keep_heads(docs, simhash_components(docs, id_col, text), id_col, text)
-
-
-def keep_heads(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the component_id of ``classes``, one an id."""
-    kept = classes.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
-    return rows.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
+    """One row of ``docs`` for each component; all columns stay. It is a row of the smallest id (nulls last) and,
+    among rows of this id in this component, of the smallest text hash."""
+    marked, rooted = _rooted(docs, id_col, text)
+    members = marked.join(rooted.select("fp", "root"), "fp").select(F.col(id_col).alias("id"), "th", "root")
+    return keep_heads(docs, members, id_col, text)
+
+
+def keep_heads(docs: DataFrame, members: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each ``root`` of ``members`` (id, th, root), which holds the id and the text hash of
+    every row. Rows are told apart by both, so an id that repeats or is null stands for no other text. Where rows
+    equal in both remain, the one with the smallest hash of all its columns stays: an aggregate, combined before
+    the shuffle, over these rows alone."""
+    rows = members.groupBy("root", "id", "th").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "n")).alias("head"))
+    kept = first.select(F.struct("head.id").alias("__id"), F.col("head.th").alias("__th"), F.col("head.n").alias("__n"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    keyed = keyed.withColumns({"__id": F.struct(F.col(f"__row.`{id_col}`").alias("id")), "__th": F.xxhash64(F.col(f"__row.`{text}`"))})
+    found = keyed.join(kept, ["__id", "__th"])
+    hashable = [f"__row.`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    single = found.filter("__n = 1").select("__row.*")
+    equal = found.filter("__n > 1").groupBy("__id", "__th").agg(F.min_by("__row", F.xxhash64(*hashable)).alias("__row"))
+    return single.union(equal.select("__row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

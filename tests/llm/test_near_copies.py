@@ -53,6 +53,23 @@ def test_stage_keeps_no_near_copy(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root))
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_representatives, near_copies.keep_distinct])
+def test_repeated_and_null_ids_lose_no_text(spark, keep):
+    """Rows that share an id, or have none, are documents of their own; one row of each text stays, copies go."""
+    texts = [" ".join(f"t{k}w{j}" for j in range(30)) for k in range(6)]
+    ids = [1, 7, 7, 7, None, None, 9, 7, None]
+    said = [0, 0, 1, 2, 3, 4, 5, 1, 3]
+    rows = [(i, texts[k], f"source{n}", {"n": n}) for n, (i, k) in enumerate(zip(ids, said, strict=True))]
+    schema = "doc_id long, text string, source string, extra map<string,int>"
+    docs = spark.createDataFrame(rows, schema).withColumnRenamed("source", "a.b")
+    kept = keep(docs.repartition(3))
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r.text for r in got) == sorted(texts)
+    assert {r.doc_id for r in got if r.text == texts[0]} == {1}
+    assert all((r.doc_id, r.text, r["a.b"], r.extra) in rows for r in got)
+
+
 @pytest.mark.parametrize("block", [3, 1024])
 def test_runs_that_the_smallest_does_not_join(spark, block):
     """Chains of sets: each is near the next one only, and all of a chain share a band."""

@@ -533,7 +533,14 @@ def test_simhash(spark, docs_dir, doc_rows):
     docs = spark.read.parquet(f"{docs_dir}/documents.parquet")
     kept = simhash.keep_representatives(docs)
     assert kept.columns == docs.columns
-    same([r.doc_id for r in kept.collect()], sorted({c for c in components_brute(ids, fps)}, key=repr))
+    groups = defaultdict(list)  # by row, not by id: rows of one id may be in different components
+    for row, name in enumerate(components_brute(list(range(len(ids))), fps)):
+        groups[name].append(row)
+    heads = [min(g, key=lambda n: (ids[n] is None, ids[n] or 0)) for g in groups.values()]
+    got = kept.collect()
+    same([r.doc_id for r in got], [ids[n] for n in heads])
+    of = {t: name for name, g in groups.items() for t in (doc_rows[n][1] for n in g)}
+    assert sorted(of[r.text] for r in got) == sorted(groups)
 
 
 @pytest.mark.parametrize("block", [3, 4096])
