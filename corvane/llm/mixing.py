@@ -11,8 +11,10 @@ Whole documents are taken. In the last pass a document is taken if its middle li
 the target, so a source's words differ from its target by at most half of one document.
 
 Edge cases: a null text has size 0; a null source is a source of its own, the last one; a null id is
-hashed like an empty one. Rows with the same id are separate documents. Documents of size 0 take no
-words. Empty tables give empty results; extra columns pass through ``mix_documents`` untouched.
+hashed like an empty one. Rows with the same id are separate documents, told apart by source and text; rows equal in
+all three meet the plan in the order of a hash of all their columns. Documents of size 0 take no
+words. Empty tables give empty results; extra columns pass through ``mix_documents`` untouched. Targets are made in one
+task from one row a source: fit for sources in the thousands, not for every host as a source.
 """
 
 from __future__ import annotations
@@ -151,13 +153,17 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
         own.alias("__own"),
         _mark(F.col("doc_id"), own).alias("mark"),
     )
-    plan = plan_mix(narrow, **options).filter("copies > 0")
-    same_row = Window.partitionBy("__id", "__own").orderBy(F.lit(0))
-    plan = plan.select(
-        F.struct("doc_id").alias("__id"), "__own", "positions"
-    ).withColumn("__row", F.row_number().over(same_row))
-    rows = docs.withColumns({"__id": F.struct("doc_id"), "__own": own}).withColumn("__row", F.row_number().over(same_row))
-    # Rows equal in id and text are told apart by number; as a residual condition it needs no other exchange.
+    # Both sides number equal rows alike: all of them, before any is dropped, by a total order.
+    key = [F.col("__id"), F.col("__own")]
+    planned = plan_mix(narrow, **options).select(F.struct("doc_id", "source").alias("__id"), "__own", "copies", "positions")
+    plan = planned.withColumn(
+        "__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("copies"), "positions"))
+    ).filter("copies > 0")
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    rows = docs.withColumns({"__id": F.struct("doc_id", "source"), "__own": own}).withColumn(
+        "__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*hashable)))
+    )
+    # Rows equal in id, source and text are told apart by number; as a residual condition it needs no other exchange.
     mixed = rows.alias("d").join(
         plan.alias("p"),
         (F.col("d.__id") == F.col("p.__id"))

@@ -25,7 +25,7 @@ from corvane.llm import (
     token_files,
     url_filters,
 )
-from corvane.storage import scratch_path
+from corvane.storage import materialise, scratch_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -104,6 +104,46 @@ def test_mixed_documents_follow_the_plan(spark, docs_dir, doc_rows):
     assert all(n <= 2 * there[r] for r, n in rows.items())
 
 
+@pytest.mark.parametrize("parts", [3, 11])
+def test_mixing_tells_equal_texts_of_different_sources_apart(spark, parts):
+    """Rows that share id and text but not source, and whole rows that repeat: each source meets its target."""
+    import random
+
+    rng = random.Random(2)
+    said = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(20, 90))) for _ in range(40)]
+    rows = [(i % 40, said[i % 40], s, n) for n, (i, s) in enumerate((i, s) for s, size in (("a", 400), ("b", 120), ("c", 90)) for i in range(size))]
+    rows += [(None, said[0], None, 0)] * 7
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int")
+    mixed = mixing.mix_documents(docs.repartition(parts)).collect()
+    _, size, target = mix_brute([(r[0], r[1], "en", r[2]) for r in rows])
+    words = Counter()
+    for r in mixed:
+        words["1" if r.source is None else "0" + r.source] += len(r.text.split())
+    for k in size:
+        assert abs(words[k] - target[k]) <= 45, k
+    assert max(Counter((r.doc_id, r.source, r.n) for r in mixed if r.source).values()) <= 2
+    again = mixing.mix_documents(docs.repartition(5)).collect()
+    assert Counter(mixed) == Counter(again)
+
+
+def test_slots_follow_the_order_of_training(spark, docs_dir):
+    """Positions of the plan, sorted, against the slots of a sharded mix that was written and read again."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{docs_dir}/documents.parquet").dropDuplicates(["doc_id", "text"]).filter("doc_id IS NOT NULL")
+    docs = materialise(docs, "test-docs")
+    own = F.xxhash64("text")
+    narrow = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing._mark(F.col("doc_id"), own).alias("mark"))
+    plan = mixing.plan_mix(narrow).select("doc_id", F.explode("positions").alias("at")).collect()
+    mixed = materialise(mixing.mix_documents(docs), "test-mixed")
+    sharded = sharding.shard_documents(mixed, 4).collect()
+    home = {r.doc_id: r.shard for r in sharded}
+    for shard in range(4):
+        want = [r.doc_id for r in sorted(plan, key=lambda r: (r["at"], r.doc_id)) if home[r.doc_id] == shard]
+        got = sorted((r for r in sharded if r.shard == shard), key=lambda r: r.slot)
+        assert [r.doc_id for r in got] == want and [r.slot for r in got] == list(range(len(want)))
+
+
 def test_schedule_inverse(spark):
     knots = ((0.0, 2.0), (0.5, 0.0), (1.0, 1.0))
     from pyspark.sql import functions as F
@@ -641,7 +681,7 @@ def test_shards_grow(spark):
     from pyspark.sql import functions as F
 
     keys = spark.range(4000).select(F.xxhash64("id").alias("k"))
-    for n in (1, 2, 9, 100):
+    for n in (1, 2, 9, 40, 100, 1000):
         rows = keys.select("k", sharding.jump_hash(F.col("k"), n).alias("s")).select("k", "s.*").collect()
         assert all((r.shard, r.grown_shard) == (jump(r.k % 2**64, n), jump(r.k % 2**64, n + 1)) for r in rows)
 
@@ -651,3 +691,15 @@ def test_sharding_keeps_columns(spark, docs_dir):
     sharded = sharding.shard_documents(docs, 5)
     assert sharded.count() == docs.count()
     assert set(docs.columns) <= set(sharded.columns) and len(set(sharded.columns)) == len(sharded.columns)
+
+
+def test_sharding_tables_without_files(spark):
+    """Tables that are not read from files, with clashing columns and a dotted name."""
+    docs = spark.createDataFrame(
+        [(i, "t" * (i % 5), "x", 1, 2.0) for i in range(200)], "doc_id long, text string, shard string, slot int, `a.b` double"
+    )
+    got = sharding.shard_documents(docs, 3)
+    assert got.columns == ["doc_id", "text", "a.b", "shard", "slot", "grown_shard"]
+    for shard in range(3):
+        slots = sorted(r.slot for r in got.collect() if r.shard == shard)
+        assert slots == list(range(len(slots)))
