@@ -7,10 +7,16 @@ it is built from integer and bit expressions, so it stays in the JVM.
 Edge cases: a null key is hashed like any other value (it has a shard of its own choosing, always the
 same). A null text counts as empty. Repeated rows get the same shard and different slots. An empty
 table gives an empty result. Columns of the input that clash with the added ones are replaced.
+
+Slots follow the order of training where there is one: a table read from files is numbered by the order of its files
+and of the rows in them, which is that of the sort that wrote it. Any other table is numbered by a hash.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +47,8 @@ def _advance(hi: Column, lo: Column) -> tuple[Column, Column]:
 def jump_hash(key: Column, n_shards: int) -> Column:
     """Struct (shard, grown_shard) of a 64-bit key: its shard among ``n_shards`` and among one more.
 
-    The walk visits candidate shards in rising order, so ``n_shards`` steps always suffice; steps
-    after its end leave the state alone.
+    The walk visits candidate shards in rising order, about ln(n_shards) of them. Nearly all keys end within the first
+    steps; the rest of ``n_shards`` steps, which always suffice, are taken only by keys that have not.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be at least 1")
@@ -64,9 +70,14 @@ def jump_hash(key: Column, n_shards: int) -> Column:
         )
         return F.when(state["j"] < n_shards, moved).otherwise(state)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(n_shards)), start, step)
+    few = min(n_shards, math.ceil(3 * math.log(n_shards)) + 8) if n_shards > 1 else 1
+    walk = lambda n, state: F.aggregate(F.sequence(F.lit(1), F.lit(n)), state, step)
+    # An array of one state, so that it is worked out once whatever mentions it.
+    end = F.array(walk(few, start))
+    if few < n_shards:
+        end = F.transform(end, lambda s: F.when(s["j"] < n_shards, walk(n_shards - few, s)).otherwise(s))
     return F.transform(
-        F.array(end),
+        end,
         lambda s: F.struct(
             s["b"].cast("int").alias("shard"),
             F.when(s["j"] == n_shards, F.lit(n_shards)).otherwise(s["b"]).cast("int").alias("grown_shard"),
@@ -98,12 +109,38 @@ def number_slots(sharded: DataFrame, narrow: list[str], n_rows: int) -> DataFram
     return total.drop("__mark")
 
 
+def number_in_order(sharded: DataFrame, file: str, row: str) -> DataFrame:
+    """Add ``slot``: gapless numbers from 0 in each shard, by the columns ``file`` and ``row``, which are not null. A
+    shard is numbered file by file, so no task holds a whole shard."""
+    rows = sharded.withColumn("__mark", F.col(file))
+    return running_total(
+        rows, ["shard"], "__mark", [row], F.lit(1).cast("long"), "slot", 0, rows.select("shard", "__mark"), F.col("__mark")
+    ).drop("__mark")
+
+
+def _stored(docs: DataFrame) -> DataFrame | None:
+    """``docs`` with its file, named so that files sort as they were written, and its row there; None without files."""
+    number = F.lpad(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1), 10, "0")
+    try:
+        return docs.select(
+            *[F.col(f"`{c}`") for c in docs.columns],
+            F.concat(number, "_metadata.file_path").alias("__file"),
+            F.col("_metadata.row_index").alias("__row"),
+        )
+    except AnalysisException:
+        return None
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 40, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``shard``, ``grown_shard`` and ``slot``."""
-    sharded = assign_shards(docs, n_shards, key).withColumn("__crc", F.crc32(F.coalesce(F.col(text), F.lit(""))))
-    numbered = number_slots(sharded, [key, "__crc"], docs.count())
     added = ["shard", "slot", "grown_shard"]
-    return numbered.select(*[c for c in docs.columns if c not in added], *added)
+    stored = _stored(docs)
+    if stored is not None:
+        numbered = number_in_order(assign_shards(stored, n_shards, key).drop("slot"), "__file", "__row")
+    else:
+        sharded = assign_shards(docs, n_shards, key).withColumn("__crc", F.crc32(F.coalesce(F.col(text), F.lit(""))))
+        numbered = number_slots(sharded, [key, "__crc"], docs.count())
+    return numbered.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *added)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
