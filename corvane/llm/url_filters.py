@@ -7,7 +7,8 @@ with the list, which removes false positives. A list too long for the bound pass
 positives, with the same final result.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is allowed.
-Repeated rows are judged alike. An empty list blocks nothing. Extra columns pass through.
+Repeated rows are judged alike. An empty list blocks nothing. Extra columns pass through, those that clash with the
+four that are added (host, path, rule, verdict) are replaced.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Blocks of the filter: 42 MB. Some 16 million listed URLs fill it to 16 bits each; a longer list passes more false hits.
+MAX_BLOCKS = 1 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict) of the production rules.
@@ -86,19 +89,22 @@ def bloom_blocks(n_listed: int, max_blocks: int) -> int:
     return min(max_blocks, 1 << max(6, (max(n_listed, 1) // 16).bit_length()))
 
 
-def listed_rows(rows: DataFrame, listed: DataFrame, max_blocks: int = 1 << 18) -> DataFrame:
-    """Add boolean ``listed``: whether the row's ``canonical`` is in ``listed.canonical``."""
-    listed = listed.select("canonical").filter("canonical IS NOT NULL").distinct()
+def listed_rows(
+    rows: DataFrame, listed: DataFrame, max_blocks: int = MAX_BLOCKS, key: str = "canonical", out: str = "listed"
+) -> DataFrame:
+    """Add boolean ``out``: whether the row's ``key`` is in ``listed.canonical``."""
+    listed = listed.select(F.col("canonical").alias("__listed_url")).filter("__listed_url IS NOT NULL").distinct()
     n_blocks = bloom_blocks(listed.count(), max_blocks)
-    block = F.xxhash64("canonical").bitwiseAND(F.lit(n_blocks - 1)).alias("__block")
+    block = lambda url: F.xxhash64(url).bitwiseAND(F.lit(n_blocks - 1))
     words = [f"__m{i}" for i in range(4)]
     bloom = (
-        listed.select(block, *_bits(F.col("canonical")))
-        .groupBy(F.col("__block").alias("__b"))
+        listed.select(block(F.col("__listed_url")).alias("__b"), *_bits(F.col("__listed_url")))
+        .groupBy("__b")
         .agg(*[F.bit_or(w).alias(w.replace("m", "f")) for w in words])
     )
-    block_of_row = F.when(F.col("canonical").isNotNull(), block)
-    probes = rows.select("*", block_of_row.alias("__block"), *_bits(F.col("canonical")))
+    kept = [F.col(f"`{c}`") for c in rows.columns]
+    url = F.col(f"`{key}`")
+    probes = rows.select(*kept, F.when(url.isNotNull(), block(url)).alias("__block"), *_bits(url))
     held = probes.join(F.broadcast(bloom), F.col("__block") == F.col("__b"), "left")
     possible = F.coalesce(
         F.col("__f0").isNotNull()
@@ -108,12 +114,12 @@ def listed_rows(rows: DataFrame, listed: DataFrame, max_blocks: int = 1 << 18) -
         & (F.col("__f3").bitwiseAND(F.col("__m3")) == F.col("__m3")),
         F.lit(False),
     )
-    tested = held.select(*rows.columns, possible.alias("__possible"))
+    tested = held.select(*kept, possible.alias("__possible"))
     passed = tested.filter("__possible").drop("__possible")
-    hits = passed.join(listed.withColumn("listed", F.lit(True)), "canonical", "left").select(
-        *rows.columns, F.coalesce("listed", F.lit(False)).alias("listed")
+    hits = passed.join(listed, url == F.col("__listed_url"), "left").select(
+        *kept, F.col("__listed_url").isNotNull().alias(out)
     )
-    clear = tested.filter("NOT __possible").select(*rows.columns, F.lit(False).alias("listed"))
+    clear = tested.filter("NOT __possible").select(*kept, F.lit(False).alias(out))
     return clear.unionByName(hits)
 
 
@@ -121,13 +127,18 @@ def judge_urls(
     pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url"
 ) -> DataFrame:
     """Columns of ``pages`` with host, path, rule and verdict (allow or block)."""
-    added = ("host", "path", "rule", "verdict", "canonical", "listed")
-    rows = pages.drop(*added) if url not in added else pages
-    parsed = rows.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    ruled = parsed.withColumn("__ruled", longest_rule(F.col("host"), F.col("path"), rules))
-    judged = listed_rows(ruled.withColumn("canonical", canonical_url(F.col(url))), listed)
-    verdict = F.coalesce(F.col("__ruled.verdict"), F.when(F.col("listed"), "block").otherwise("allow"))
-    return judged.select(*rows.columns, "host", "path", F.col("__ruled.rule").alias("rule"), verdict.alias("verdict"))
+    added = ("host", "path", "rule", "verdict")
+    said = F.col(f"`{url}`")
+    rows = pages.withColumns({"__host": host_of(said), "__path": path_of(said), "__canonical": canonical_url(said)})
+    ruled = rows.withColumn("__ruled", longest_rule(F.col("__host"), F.col("__path"), rules))
+    judged = listed_rows(ruled, listed, key="__canonical", out="__listed")
+    verdict = F.coalesce(F.col("__ruled.verdict"), F.when(F.col("__listed"), "block").otherwise("allow"))
+    return judged.select(
+        *[F.col(f"`{c}`") for c in pages.columns if c == url or c not in added],
+        *[F.col(c).alias(name) for c, name in (("__host", "host"), ("__path", "path")) if name != url],
+        F.col("__ruled.rule").alias("rule"),
+        verdict.alias("verdict"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
