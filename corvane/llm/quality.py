@@ -6,8 +6,8 @@ weighing the same, so that a few long ones do not set it. A document is
 rejected if the Jensen-Shannon distance (base 2, 0 to 1) of a histogram to its language's reference is
 over a limit, where the document is long enough for the distance to mean something.
 
-References are a table of at most ``MAX_LANGUAGES`` rows of about 120 numbers; rarer languages share
-the reference of all documents. This is a fixed bound, so the table is broadcast.
+References are a table of one row a language, of about 120 numbers, that is joined by language. It is broadcast while it
+has at most ``BROADCAST_LANGUAGES`` rows; beyond that it is an equi-join, with the same result.
 
 Edge cases: a null, empty or blank text has no words and fails the limit on words. A null language is a
 language of its own. A language without documents that pass is judged by the reference of all; if
@@ -38,7 +38,7 @@ WORD_BINS = {w.encode(): i for i, w in enumerate(sorted({w for words in COMMON_W
 N_WORD_BINS = len(WORD_BINS) + 1
 #: Character classes: a-z, A-Z, digits, blanks, newlines, sentence marks, other ASCII marks, beyond ASCII, control.
 N_CLASSES = 9
-MAX_LANGUAGES = 256
+BROADCAST_LANGUAGES = 1024
 #: Distances above which a document is rejected, and what it needs to be judged.
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.325
@@ -65,6 +65,8 @@ _CLASS = np.array([_class_of(b) for b in range(256)])
 _SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 _BLANKS = [0x20, *range(0x09, 0x0E)]
 
+#: Bins of each histogram.
+_HISTOGRAMS = {"classes": N_CLASSES, "common": N_WORD_BINS}
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = T.StructType(
     [T.StructField(n, T.LongType()) for n in _COUNTS]
@@ -124,26 +126,14 @@ def base_failed(f: str) -> Column:
 
 
 def language_references(featured: DataFrame, lang: str, f: str) -> DataFrame:
-    """Rows (lang_key, classes, common) for the most frequent languages; lang_key null: all documents. The rows
-    go through the driver: MAX_LANGUAGES + 1 at most."""
+    """Rows (lang_key, classes, common): summed shares of the documents of each language that pass the counts."""
     passing = featured.filter(~base_failed(f))
     # Shares in millionths: every document weighs the same, and whole numbers add up alike in any order.
     total = lambda name: F.aggregate(F.col(f"{f}.{name}"), F.lit(0).cast("long"), lambda a, v: a + v)
-    passing = passing.withColumns({f"__{name}": F.greatest(total(name), F.lit(1)) for name in ("classes", "common")})
+    passing = passing.withColumns({f"__{name}": F.greatest(total(name), F.lit(1)) for name in _HISTOGRAMS})
     share = lambda name, i: F.round(F.col(f"{f}.{name}")[i] * 1e6 / F.col(f"__{name}")).cast("long")
-    sums = [
-        F.array(*[F.sum(share(name, i)) for i in range(size)]).alias(name)
-        for name, size in (("classes", N_CLASSES), ("common", N_WORD_BINS))
-    ]
-    by_lang = passing.groupBy(_lang_key(lang).alias("lang_key")).agg(F.count("*").alias("n"), *sums)
-    top = by_lang.orderBy(F.desc("n"), "lang_key").limit(MAX_LANGUAGES).drop("n").collect()
-    whole = passing.agg(*sums).collect() if len(top) == MAX_LANGUAGES else []
-    if not whole and top:
-        whole = [{k: [sum(v) for v in zip(*(r[k] for r in top), strict=True)] for k in ("classes", "common")}]
-    rows = [(r["lang_key"], r["classes"], r["common"]) for r in top] + [
-        (None, w["classes"], w["common"]) for w in whole if w["classes"][0] is not None
-    ]
-    return featured.sparkSession.createDataFrame(rows, "lang_key string, classes array<long>, common array<long>")
+    sums = [F.array(*[F.sum(share(name, i)) for i in range(size)]).alias(name) for name, size in _HISTOGRAMS.items()]
+    return materialise(passing.groupBy(_lang_key(lang).alias("lang_key")).agg(*sums), "quality-references")
 
 
 def _lang_key(lang: str) -> Column:
@@ -162,14 +152,17 @@ def _shares(values: Column) -> Column:
 
 def judge(featured: DataFrame, references: DataFrame, lang: str = "lang", f: str = "f") -> DataFrame:
     """Add base_failed, class_distance, word_distance and kept."""
-    own = references.filter("lang_key IS NOT NULL").select(
-        "lang_key", F.col("classes").alias("__classes"), F.col("common").alias("__common")
-    )
-    pooled = references.filter("lang_key IS NULL").first()
+    own = references.select("lang_key", F.col("classes").alias("__classes"), F.col("common").alias("__common"))
+    pooled = references.agg(
+        F.count("*").alias("n"),
+        *[F.array(*[F.sum(F.col(name)[i]) for i in range(size)]).alias(name) for name, size in _HISTOGRAMS.items()],
+    ).first()
     rest = [F.lit(None).cast("array<bigint>")] * 2
-    if pooled:
-        rest = [F.array(*[F.lit(v).cast("long") for v in pooled[k]]) for k in ("classes", "common")]
-    joined = featured.join(F.broadcast(own), _lang_key(lang) == F.col("lang_key"), "left")
+    if pooled["n"]:
+        rest = [F.array(*[F.lit(v).cast("long") for v in pooled[k]]) for k in _HISTOGRAMS]
+    if pooled["n"] <= BROADCAST_LANGUAGES:
+        own = F.broadcast(own)
+    joined = featured.join(own, _lang_key(lang) == F.col("lang_key"), "left")
     n_chars = F.aggregate(F.col(f"{f}.classes"), F.lit(0), lambda a, v: a + v)
 
     def distance(name: str, pooled_sums: Column) -> Column:
@@ -193,11 +186,11 @@ def judge(featured: DataFrame, references: DataFrame, lang: str = "lang", f: str
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, all columns as they were. Text is measured twice, for the references
-    and for the verdict, and moves between no tasks."""
-    featured = docs.withColumn("__f", _features(F.col(text)))
-    references = language_references(docs.select(lang, _features(F.col(text)).alias("__f")), lang, "__f")
-    judged = judge(featured.select(F.struct(*docs.columns).alias("__row"), F.col(lang), "__f"), references, lang, "__f")
+    """The rows of ``docs`` that are kept, all columns as they were. Text is measured once, and written with what was
+    measured, for the references and the verdict both need it."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    featured = materialise(docs.select(row, F.col(f"`{lang}`").alias("__lang"), _features(F.col(f"`{text}`")).alias("__f")), "quality-features")
+    judged = judge(featured, language_references(featured, "__lang", "__f"), "__lang", "__f")
     return judged.filter("kept").select("__row.*")
 
 

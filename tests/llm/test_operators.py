@@ -201,6 +201,20 @@ def test_urls(spark, tmp_path):
     same([tuple(r) for r in got], [(i, *brute(u)) for i, u in enumerate(urls * 2)])
 
 
+def test_url_columns_that_clash_stay(spark):
+    pages = spark.createDataFrame(
+        [(1, "http://a.net/es/x", "c", "l", "h", 1.5), (2, None, "c", "l", "h", 2.5)],
+        "page_id long, url string, canonical string, listed string, host string, `x.y` double",
+    )
+    listed = spark.createDataFrame([("b.net/q",)], "canonical string")
+    got = url_filters.judge_urls(pages, listed).orderBy("page_id")
+    assert got.columns == ["page_id", "url", "canonical", "listed", "x.y", "host", "path", "rule", "verdict"]
+    assert [tuple(r) for r in got.collect()] == [
+        (1, "http://a.net/es/x", "c", "l", 1.5, "a.net", "/es/x", "net/es/", "block"),
+        (2, None, "c", "l", 2.5, "", "", None, "allow"),
+    ]
+
+
 def test_url_list_is_exact_beyond_the_filter(spark):
     """With a filter far too small nearly all rows are possible hits; the join still decides."""
     rows = spark.createDataFrame([(f"h{i}/p",) for i in range(5000)], "canonical string")
@@ -260,6 +274,25 @@ def test_quality_distances(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_every_language_has_its_reference(spark, monkeypatch):
+    """More languages than are broadcast: the same verdicts, each by the reference of its own language."""
+    import random
+
+    rng, rows = random.Random(6), []
+    for k in range(12):
+        own = quality.COMMON_WORDS[("en", "fr", "de", "es")[k % 4]]
+        rows += [(k * 10 + j, " ".join(rng.choice(own) for _ in range(120)), f"lang{k}") for j in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", quality._features("text").alias("f"))
+    judge = lambda: {
+        r.doc_id: (r.kept, round(r.class_distance, 9), round(r.word_distance, 9))
+        for r in quality.judge(docs, quality.language_references(docs, "lang", "f")).collect()
+    }
+    want = judge()
+    assert quality.language_references(docs, "lang", "f").count() == 12
+    monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", 3)
+    assert judge() == want and len(want) == 96
+
+
 # 4. Token files
 
 
