@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import decontaminate, mixing, near_copies, quality, sharding
-from corvane.storage import materialise
+from corvane.storage import discard, scratch_path, scratch_scope
 
 N_SHARDS = 40
 
@@ -55,8 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, applied to the table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, applied to the table of documents. What a stage makes on its way is deleted when it is done, and its
+    rows when the next one is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch_scope(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
