@@ -2,7 +2,7 @@
 
 Messages form trees by their parents. Root-to-leaf paths are enumerated by self-joins that double their
 reach: after r rounds a leaf's path holds its nearest 2**r messages, so a chain of n messages takes
-about log2(n) rounds. Branches are ranked by the mean score of their messages; the chosen ones are
+about log2(n) rounds; messages that run into a circle are found first, and no path is made of them. Branches are ranked by the mean score of their messages; the chosen ones are
 formatted as one conversation each, with a loss mask over what the assistant says.
 
 A turn is ``<|start|>role<|sep|>text<|end|>``. Inside roles and texts a backslash is doubled, and one
@@ -18,8 +18,6 @@ table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,24 +42,25 @@ def reply_paths(nodes: DataFrame) -> DataFrame:
     nodes = materialise(nodes, "chat-nodes")
     above = nodes.select("conv", F.col("node").alias("parent"))
     up = nodes.filter("parent IS NOT NULL").join(above, ["conv", "parent"]).select("conv", "node", "parent")
-    jumps = materialise(up, "chat-jumps")
-    leaves = nodes.join(jumps.select("conv", F.col("parent").alias("node")).distinct(), ["conv", "node"], "left_anti")
-    roots = nodes.join(jumps.select("conv", "node"), ["conv", "node"], "left_anti").select("conv", "node")
+    jumps = [materialise(up, "chat-jumps")]
+    longest = nodes.groupBy("conv").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # A message as many steps from a root as its conversation has messages does not exist: who can still jump then
+    # runs into a circle, and is known before any path is made.
+    while (1 << (len(jumps) - 1)) < longest and not jumps[-1].isEmpty():
+        last = jumps[-1]
+        further = last.alias("a").join(
+            last.alias("b"), (F.col("a.conv") == F.col("b.conv")) & (F.col("a.parent") == F.col("b.node"))
+        )
+        jumps.append(materialise(further.select("a.conv", "a.node", "b.parent"), "chat-jumps"))
+    leaves = nodes.join(jumps[0].select("conv", F.col("parent").alias("node")).distinct(), ["conv", "node"], "left_anti")
+    leaves = leaves.join(jumps[-1].select("conv", "node"), ["conv", "node"], "left_anti")
     paths = leaves.select("conv", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
-    for r in range(math.ceil(math.log2(max(nodes.count(), 2))) + 1):
-        if jumps.isEmpty():
-            break
-        longer = paths.join(jumps, ["conv", "node"]).select(
+    for r, jump in enumerate(jumps[:-1]):
+        longer = paths.join(jump, ["conv", "node"]).select(
             "conv", "leaf", F.col("parent").alias("node"), (F.col("distance") + (1 << r)).alias("distance")
         )
         paths = materialise(paths.union(longer), "chat-paths")
-        further = jumps.alias("a").join(
-            jumps.alias("b"), (F.col("a.conv") == F.col("b.conv")) & (F.col("a.parent") == F.col("b.node"))
-        )
-        jumps = materialise(further.select("a.conv", "a.node", "b.parent"), "chat-jumps")
-    # A path that does not end in a root runs into a circle.
-    rooted = paths.join(roots, ["conv", "node"], "left_semi").select("conv", "leaf")
-    return paths.join(rooted, ["conv", "leaf"], "left_semi")
+    return paths
 
 
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:

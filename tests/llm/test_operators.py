@@ -570,6 +570,22 @@ def test_reply_trees(spark):
 # 8. SimHash
 
 
+def test_circles_make_no_paths(spark, monkeypatch):
+    """Leaves that hang on circles among healthy chains: no more path rows than the healthy ones have."""
+    made = []
+    plain = chat.materialise
+    monkeypatch.setattr(chat, "materialise", lambda df, label: made.append((label, plain(df, label))) or made[-1][1])
+    rows = [("long", i, i - 1 if i else None) for i in range(300)] + [(f"c{i % 50}", i, None) for i in range(400)]
+    rows += [("ring", 0, 2), ("ring", 1, 0), ("ring", 2, 1), ("ring", 9, 9)] + [("ring", 10 + i, i % 3) for i in range(5)]
+    rows += [("ring", 20, None), ("ring", 21, 20)]
+    paths = chat.reply_paths(spark.createDataFrame(rows, "conv string, node long, parent long"))
+    got = paths.collect()
+    assert Counter(r.conv for r in got)["long"] == 300
+    assert sorted((r.leaf, r.node, r.distance) for r in got if r.conv == "ring") == [(21, 20, 1), (21, 21, 0)]
+    assert len(got) == 300 + 400 + 2
+    assert max(df.count() for label, df in made if label == "chat-paths") == len(got)
+
+
 def fingerprint_brute(text):
     w = WORD.findall((text or "").translate(LOWER))
     if not w:
