@@ -7,7 +7,9 @@ moves. Neighbouring diagonals, a word dropped or put in, are merged, and a span
 holds enough of its template. Votes count only if the words are equal, not just their hash, so a
 diagonal with all its pairs is the whole phrase, word for word.
 
-The templates are constants of this module: a few hundred pairs, a fixed bound, so they are broadcast.
+The templates are constants of this module or of the caller's, of two words or more: a phrase, or a whole license text.
+They are broadcast: at most ``MAX_PAIRS`` pairs, a proven bound, beyond which they are joined by an exchange. Before pairs are
+put together, words that no template's pair begins with are left out: a text without any costs no strings.
 
 Edge cases: a null text is empty: no words, no places. Overlapping places all count. Repeated rows get
 equal results. Words are letters, digits and everything beyond ASCII, with A-Z lower-cased, so ``CC-BY``
@@ -44,6 +46,8 @@ NOTICES = (
 #: Share of a notice's pairs that a span must hold, and words by which neighbouring diagonals may differ.
 LEAST_SHARE = 0.8
 MAX_SHIFT = 2
+#: Pairs of templates up to which they are broadcast, and first words up to which they are a literal set.
+MAX_PAIRS, MAX_FIRST = 200_000, 2000
 _END = "\x00"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,8 +57,8 @@ def _template_rows(phrases: Sequence[tuple[str, str]], notices: Sequence[tuple[s
     rows = [(_END, -1, 0, "", 1, False)]
     for number, (label, text) in enumerate([*phrases, *notices]):
         words = text.split()
-        if not 2 <= len(words) <= 64:
-            raise ValueError(f"a template has 2 to 64 words: {text}")
+        if len(words) < 2:
+            raise ValueError(f"a template has two words or more: {text}")
         pairs = [" ".join(p) for p in zip(words, words[1:], strict=False)]
         rows += [(p, number, i, label, len(pairs), number < len(phrases)) for i, p in enumerate(pairs)]
     return rows
@@ -66,11 +70,15 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(low, F.lit("")), F.lit(WORD), F.lit(0))
 
 
-def word_pairs(words: Column) -> Column:
-    """Each word with the next, then a closing mark whose position is the number of words."""
-    closed = F.concat(words, F.array(F.lit("")))
-    after = F.concat(F.slice(closed, F.lit(2), F.size(words)), F.array(F.lit(None).cast("string")))
-    return F.zip_with(closed, after, lambda a, b: F.coalesce(F.concat(a, F.lit(" "), b), F.lit(_END)))
+def word_pairs(words: Column, first: Sequence[str]) -> Column:
+    """Structs (at, said): each word of ``first`` with the next word, then a closing mark whose position is the number
+    of words. Without ``first``, all words."""
+    join = lambda a, b: F.concat(a, F.lit(" "), F.coalesce(b, F.lit("")))
+    pair = lambda a, b: F.when(a.isin(list(first)), join(a, b)) if first else join(a, b)
+    # Arrays go through lambdas as arguments, worked out once; an array that a lambda mentions is made for every element.
+    said = F.concat(F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), pair), F.array(F.lit(_END)))
+    placed = F.transform(said, lambda p, i: F.when(p.isNotNull(), F.struct(i.alias("at"), p.alias("said"))))
+    return F.filter(placed, lambda p: p.isNotNull())
 
 
 def scan_licenses(
@@ -83,35 +91,45 @@ def scan_licenses(
     """Columns (id_col, n_words, n_base, first_word, last_word, base_labels, labels, score), a row for each row of
     ``docs``. ``score`` is the largest share of a template's pairs that a span holds."""
     spark = docs.sparkSession
+    table = _template_rows(phrases, notices)
     templates = spark.createDataFrame(
-        _template_rows(phrases, notices), "pair string, template int, place int, label string, n_pairs int, base boolean"
+        table, "pair string, template int, place int, label string, n_pairs int, base boolean"
     ).withColumn("hash", F.xxhash64("pair"))
     # Words are a column of their own: a generator would work out its argument once for each mention.
     split = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("own"), words_of(F.col(text)).alias("words"))
-    rows = split.select("id", "own", F.posexplode(word_pairs(F.col("words")))).toDF("id", "own", "at", "said")
+    begins = {r[0].split(" ")[0] for r in table[1:]}
+    begins = sorted(begins) if len(begins) <= MAX_FIRST else []
+    pairs = split.withColumn("pairs", word_pairs(F.col("words"), begins))
+    # Never empty; the outer form, because a plain explode has its argument worked out again for a filter on its size.
+    pairs = pairs.select("id", "own", F.explode_outer("pairs").alias("p"))
+    rows = pairs.select("id", "own", "p.at", "p.said")
+    known = templates if len(table) > MAX_PAIRS else F.broadcast(templates)
     votes = (
-        rows.join(F.broadcast(templates), F.xxhash64("said") == F.col("hash"))
+        rows.join(known, F.xxhash64("said") == F.col("hash"))
         .filter("said = pair")
         .select(
             "id",
             "own",
             "template",
             (F.col("at") - F.col("place")).alias("diagonal"),
-            F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place")).alias("bit"),
+            F.shiftright("place", 6).alias("word"),
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63))).alias("bit"),
         )
     )
-    diagonals = votes.groupBy("id", "own", "template", "diagonal").agg(
+    # The places of a template that a diagonal holds, 64 to a word.
+    diagonals = votes.groupBy("id", "own", "template", "diagonal", "word").agg(
         F.bit_or("bit").alias("held"), F.count("*").alias("n")
     )
     about = templates.select("template", "label", "n_pairs", "base").distinct()
     placed = diagonals.repartition("id", "own").join(F.broadcast(about), "template")
-    along = Window.partitionBy("id", "own", "template").orderBy("diagonal")
+    one = Window.partitionBy("id", "own", "template")
+    along, whole = one.orderBy("diagonal"), Window.partitionBy("id", "own", "template", "diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > MAX_SHIFT, F.lit(True))
-    spans = (
+    words = (
         placed.withColumn("new", apart.cast("int"))
         .withColumn("span", F.sum("new").over(along))
-        .withColumn("whole", (F.bit_count("held") == F.col("n_pairs")) & F.col("base"))
-        .groupBy("id", "own", "template", "span", "label", "n_pairs", "base")
+        .withColumn("whole", (F.sum(F.bit_count("held")).over(whole) == F.col("n_pairs")) & F.col("base") & (F.col("word") == 0))
+        .groupBy("id", "own", "template", "span", "label", "n_pairs", "base", "word")
         .agg(
             F.bit_or("held").alias("held"),
             F.count_if("whole").alias("places"),
@@ -121,8 +139,12 @@ def scan_licenses(
             F.max("n").alias("n"),
         )
     )
+    spans = words.groupBy("id", "own", "template", "span", "label", "n_pairs", "base").agg(
+        F.sum(F.bit_count("held")).alias("held"),
+        *[how(c).alias(c) for how, c in ((F.sum, "places"), (F.min, "first"), (F.max, "last"), (F.max, "diagonal"), (F.max, "n"))],
+    )
     end = F.col("template") == -1
-    share = F.when(end, 0.0).otherwise(F.bit_count("held") / F.col("n_pairs"))
+    share = F.when(end, 0.0).otherwise(F.col("held") / F.col("n_pairs"))
     held = F.when(F.col("base"), F.col("places") > 0).otherwise(~end & (share >= LEAST_SHARE))
     joined = lambda what: F.array_join(F.array_sort(F.collect_set(F.when(what, F.col("label")))), ",")
     found = spans.groupBy("id", "own").agg(

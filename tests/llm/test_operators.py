@@ -693,12 +693,59 @@ def test_licenses(spark, tmp_path):
 
     got = licenses.query(spark, str(tmp_path)).collect()
     same([tuple(r)[:6] for r in got], [(i, *brute(t)) for i, t in rows])
+    same([(r.doc_id, r.labels, round(r.score, 9)) for r in got], [(i, *votes_brute(t, licenses.PHRASES, licenses.NOTICES)) for i, t in rows])
     by_id = {r.doc_id: r for r in got}
     assert by_id[3].labels == "mit" and by_id[3].base_labels == ""  # one word put in: two diagonals, one span
     assert by_id[4].labels == "apache" and by_id[4].score == 1.0
     assert by_id[1].labels == "gpl,reserved" and by_id[8].score == 0.0
 
 
+def votes_brute(text, phrases, notices):
+    """Labels and score by all pairs of places: diagonals, neighbours merged, shares of pairs."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels, score = set(), 0.0
+    for number, (label, said) in enumerate([*phrases, *notices]):
+        t = said.split()
+        held = defaultdict(set)
+        for q in range(len(t) - 1):
+            for p in range(len(w) - 1):
+                if w[p : p + 2] == t[q : q + 2]:
+                    held[p - q].add(q)
+        spans, last = [], None
+        for d in sorted(held):
+            if last is None or d - last > licenses.MAX_SHIFT:
+                spans.append(set())
+            spans[-1] |= held[d]
+            last = d
+        best = max((len(s) / (len(t) - 1) for s in spans), default=0.0)
+        score = max(score, best)
+        whole = any(len(s) == len(t) - 1 for s in held.values())
+        if whole if number < len(phrases) else best >= licenses.LEAST_SHARE:
+            labels.add(label)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+@pytest.mark.parametrize("first", [2000, 3])
+def test_whole_license_texts(spark, monkeypatch, first):
+    """Templates of hundreds of words, whole, with words dropped, cut short, and a base phrase of over 64 words."""
+    import random
+
+    rng = random.Random(4)
+    monkeypatch.setattr(licenses, "MAX_FIRST", first)
+    text = lambda n: [rng.choice(("the", "work", "of", "you", "may")) if rng.random() < 0.4 else f"w{rng.randint(0, 400)}" for _ in range(n)]
+    long, phrase = text(700), text(130)
+    notices = [("long", " ".join(long)), ("mit", "released under the mit license")]
+    dropped = [x for i, x in enumerate(long) if i % 40]
+    texts = [" ".join(t) for t in (long, text(50) + dropped + text(9), long[:500], long[:600], text(300), phrase + phrase, phrase[:-1])]
+    docs = spark.createDataFrame([(i, t.upper()) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs, [("base", " ".join(phrase))], notices).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].labels, round(got[i].score, 9)) == votes_brute(t, [("base", " ".join(phrase))], notices), i
+    assert got[0].labels == got[1].labels == got[3].labels == "long" and got[2].labels == "" and got[0].score == 1.0
+    assert (got[5].base_labels, got[5].n_base, got[5].first_word, got[5].last_word) == ("base", 2, 0, 130)
+    assert (got[6].base_labels, got[6].n_base) == ("", 0)
+
+
 # 10. Sharding
 
 
