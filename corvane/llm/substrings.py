@@ -12,6 +12,12 @@ places. These stay behind in a row of the chunk's own, dealt by chunk and not by
 looked up when the bucket has answered. So a passage in a third of all documents costs its bucket one
 entry a chunk.
 
+A word group that stands in very many documents, each time among other words, would send all windows around it to one
+bucket. Such groups are found beforehand: the bytes that each minimiser would send are added up over a share of
+the documents and of the strings, picked by hashes, and what comes to ``HOT_BYTES`` or more is hot. A hot group is a
+window's minimiser only if all its groups are hot; then the window's own hash is, and it travels alone. Both
+follow from the window's words, so equal windows still meet. Which groups are hot decides on balance, never on results.
+
 Edge cases: null and blank texts have no words. A null id counts as larger than all ids. Rows with the
 same id do not remove each other's words; they are told apart by a hash of their text, and equal rows
 get equal results. Words are compared unchanged, byte by byte. Windows do not cross documents.
@@ -36,8 +42,13 @@ GROUP = 3
 CHUNK_BYTES = 3 << 20
 #: Places of one string in one chunk from which they stay with the chunk.
 OFTEN = 8
-#: Bytes of text for each bucket.
+#: Bytes of text for each bucket, buckets that a task counts one after the other, and tasks at which these grow.
 BUCKET_BYTES = 4 << 20
+TASK_BUCKETS, MAX_TASKS = 2, 100_000
+#: One in so many documents, and strings of these, are added up by minimiser.
+DOC_SHARE, STRING_SHARE = 16, 256
+#: Bytes of strings of one minimiser, over the whole input, from which its group is hot.
+HOT_BYTES = 16 << 20
 _NULL_ID = (1 << 63) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,8 +120,22 @@ def _unpack(payload: bytes) -> list[bytes]:
     return [raw[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def _cut(ids: np.ndarray, rows: np.ndarray, texts: list[bytes], counts: np.ndarray, n_buckets: int, chunk: int):
-    """Rows (kind, bucket, chunk, payload) of one chunk of texts."""
+def minimisers(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The minimiser of each window of consecutive words, given the words' hashes and the sorted hashes of hot groups."""
+    groups = rolling(hashes, GROUP)
+    if not len(hot):
+        return _sliding_min(groups, WINDOW - GROUP + 1)
+    at = np.minimum(np.searchsorted(hot, groups), len(hot) - 1)
+    top = np.uint64(1 << 63)
+    least = _sliding_min(groups >> np.uint64(1) | np.where(hot[at] == groups, top, np.uint64(0)), WINDOW - GROUP + 1)
+    return np.where(least >= top, rolling(hashes, WINDOW) | top, least)
+
+
+def _cut(
+    ids: np.ndarray, rows: np.ndarray, texts: list[bytes], counts: np.ndarray, n_buckets: int, chunk: int, hot: np.ndarray
+):
+    """Rows (kind, bucket, chunk, payload) of one chunk of texts. With no buckets, rows (minimiser, bytes) of a share
+    of the strings that would be sent."""
     buffer = b"\n".join(texts) + b"\n"
     starts, ends, doc = _words_of(buffer, counts)
     n = len(starts) - WINDOW + 1
@@ -118,7 +143,7 @@ def _cut(ids: np.ndarray, rows: np.ndarray, texts: list[bytes], counts: np.ndarr
         return
     inside = doc[:n] == doc[WINDOW - 1 :]
     hashes = word_hashes(buffer, starts, ends)
-    least = _sliding_min(rolling(hashes, GROUP), WINDOW - GROUP + 1)[:n]
+    least = minimisers(hashes, hot)[:n]
     at = np.flatnonzero(inside)
     if not len(at):
         return
@@ -128,7 +153,7 @@ def _cut(ids: np.ndarray, rows: np.ndarray, texts: list[bytes], counts: np.ndarr
     start = at[head]
     length = np.diff(np.append(head, len(at)))
     lo, hi = starts[start], ends[start + length + WINDOW - 2]
-    bucket = (_mix(least[start]) % np.uint64(n_buckets)).astype(np.int64)
+    bucket = (_mix(least[start]) % np.uint64(max(n_buckets, 1))).astype(np.int64)
     first_word = np.searchsorted(doc, doc[start])
     place = start - first_word
     # Strings that come up often in this chunk: sorted by a hash of both ends, told apart by their bytes.
@@ -148,7 +173,7 @@ def _cut(ids: np.ndarray, rows: np.ndarray, texts: list[bytes], counts: np.ndarr
             if len(group) >= OFTEN:
                 often[group] = names
                 names += 1
-    if names:
+    if names and n_buckets:
         kept = np.flatnonzero(often >= 0)
         parts = [often[kept], ids[doc[start[kept]]], rows[doc[start[kept]]], place[kept]]
         yield 1, chunk % n_buckets, chunk, _pack(*[p.astype("<i8").tobytes() for p in parts])
@@ -161,6 +186,11 @@ def _cut(ids: np.ndarray, rows: np.ndarray, texts: list[bytes], counts: np.ndarr
         np.minimum.at(least_id, often[every], ids[doc[start[every]]])
         np.maximum.at(most_id, often[every], ids[doc[start[every]]])
     sent = np.flatnonzero(send)
+    if not n_buckets:
+        mark = _mix(rows[doc[start[sent]]].astype(np.uint64) + place[sent].astype(np.uint64) * _ODD)
+        sent = sent[mark % np.uint64(STRING_SHARE) == 0]
+        yield from zip(least[start[sent]].view(np.int64).tolist(), (hi - lo)[sent].tolist(), strict=True)
+        return
     sent = sent[np.argsort(bucket[sent], kind="stable")]
     smallest = ids[doc[start[sent]]].copy()
     largest = smallest.copy()
@@ -187,7 +217,10 @@ def _cut(ids: np.ndarray, rows: np.ndarray, texts: list[bytes], counts: np.ndarr
 _SENT = "kind int, bucket long, chunk long, payload binary"
 
 
-def _cutter(n_buckets: int):
+def _cutter(n_buckets: int, hot: np.ndarray):
+    names = ("kind", "bucket", "chunk", "payload") if n_buckets else ("least", "bytes")
+    types = _SENT_TYPES if n_buckets else (pa.int64(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows, texts, counts, held = [], [], [], [], 0
@@ -199,7 +232,7 @@ def _cutter(n_buckets: int):
                     number = hashlib.blake2b(np.array([ids, rows], "<i8").tobytes(), digest_size=8).digest()
                     chunk = int.from_bytes(number, "little") >> 1
                     out.extend(
-                        _cut(np.array(ids, np.int64), np.array(rows, np.int64), texts, np.array(counts), n_buckets, chunk)
+                        _cut(np.array(ids, np.int64), np.array(rows, np.int64), texts, np.array(counts), n_buckets, chunk, hot)
                     )
                 for held_list in (ids, rows, texts, counts):
                     held_list.clear()
@@ -218,11 +251,11 @@ def _cutter(n_buckets: int):
                     close()
                     held = 0
                     if out:
-                        yield _batch(out, ("kind", "bucket", "chunk", "payload"), _SENT_TYPES)
+                        yield _batch(out, names, types)
                         out.clear()
             close()
             if out:
-                yield _batch(out, ("kind", "bucket", "chunk", "payload"), _SENT_TYPES)
+                yield _batch(out, names, types)
 
     return run
 
@@ -339,16 +372,27 @@ def _spread_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["chunk", "name", "id", "row", "place"])
 
 
+def hot_groups(source: DataFrame, hot_bytes: int = HOT_BYTES, doc_share: int = DOC_SHARE) -> np.ndarray:
+    """Sorted hashes of the hot groups of ``source`` (id, row, text). There are at most bytes sent / hot_bytes of them:
+    some 100,000 of 8 bytes for each TB."""
+    picked = source.filter(F.pmod(F.xxhash64("id", "row"), F.lit(doc_share)) == 0)
+    sent = picked.mapInArrow(_cutter(0, np.zeros(0, np.uint64)), "least long, bytes long")
+    limit = hot_bytes // (doc_share * STRING_SHARE)
+    found = sent.groupBy("least").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") >= limit).collect()
+    return np.sort(np.array([r["least"] for r in found], np.int64).view(np.uint64))
+
+
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Columns (id, row, start, length): runs of windows, by the number of their first word, whose words
     also start in a document with a smaller id. ``row`` is a hash of the text; a null id is 2**63 - 1."""
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_buckets = max(32, size // BUCKET_BYTES)
-    sent = source.mapInArrow(_cutter(n_buckets), _SENT)
-    found = materialise(
-        sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_count_bucket, _FOUND), "substring-found"
-    )
+    sent = source.mapInArrow(_cutter(n_buckets, hot_groups(source)), _SENT)
+    # Buckets are dealt by number, so that tasks hold equally many, and more input makes more tasks, not larger ones.
+    n_tasks = min(MAX_TASKS, -(-n_buckets // TASK_BUCKETS))
+    dealt = sent.repartitionById(n_tasks, F.pmod("bucket", F.lit(n_tasks)).cast("int"))
+    found = materialise(dealt.sortWithinPartitions("bucket").mapInArrow(_count_bucket, _FOUND), "substring-found")
     direct = found.filter("kind = 0").select("id", "row", "start", "length")
     places = found.filter("kind = 1").select("chunk", "payload").mapInArrow(
         _spread_places, "chunk long, name long, id long, row long, place long"

@@ -398,6 +398,40 @@ def test_substrings_many_chunks(spark, doc_rows, monkeypatch, tmp_path):
     same([tuple(r) for r in substrings.query(spark, str(tmp_path)).collect()], list(substrings_brute(rows)))
 
 
+@pytest.mark.parametrize("share", [1, 2])
+def test_substrings_with_hot_groups(spark, docs_dir, doc_rows, monkeypatch, share):
+    """All word groups hot, or every other one: the same rows."""
+    texts = [" ".join((r[1] or "").encode().decode().split()).encode() for r in doc_rows]
+    hot = []
+    for t in texts:
+        starts, ends, _ = substrings._words_of(t + b"\n", np.array([len(t.split())]))
+        if len(starts) >= substrings.GROUP:
+            hot.append(substrings.rolling(substrings.word_hashes(t + b"\n", starts, ends), substrings.GROUP))
+    hot = np.unique(np.concatenate(hot))[::share]
+    monkeypatch.setattr(substrings, "hot_groups", lambda source: hot)
+    same([tuple(r) for r in substrings.query(spark, docs_dir).collect()], list(substrings_brute(doc_rows)))
+
+
+def test_hot_groups_share_the_load(spark):
+    """One group in every document, each time among other words: its bucket takes many times the others' before."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, i, " ".join(f"a{i}x{j}" for j in range(12)) + " in the end " + " ".join(f"b{i}x{j}" for j in range(12))) for i in range(3000)]
+    source = spark.createDataFrame(rows, "id long, row long, text string").repartition(8)
+    hot = substrings.hot_groups(source, hot_bytes=16 * 256 * 16, doc_share=1)
+    words = b"in the end\n"
+    group = substrings.rolling(substrings.word_hashes(words, np.array([0, 3, 7]), np.array([2, 6, 10])), 3)
+
+    def largest(hot):
+        sent = source.mapInArrow(substrings._cutter(256, hot), substrings._SENT)
+        return sent.groupBy("bucket").agg(F.sum(F.octet_length("payload")).alias("n")).agg(F.max("n")).first()[0]
+
+    none = np.zeros(0, np.uint64)
+    if substrings._mix(group)[0] < 1 << 63:  # else it is the minimiser of few windows anyway
+        assert largest(none) > 1.5 * largest(group)
+    assert set(hot.tolist()) <= set(group.tolist())
+
+
 # 6. Decontamination
 
 
