@@ -32,6 +32,12 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
+def composed(c: Column) -> Column:
+    """NFC of any text. Only rows with combining marks or single letters of Hangul syllables go to Python; all others are
+    in the form already as far as kept characters go."""
+    return F.coalesce(nfc(F.when(c.rlike("[\u0300-\u036f\u1100-\u11ff]"), c)), c)
+
+
 def search_text(c: Column) -> Column:
     """Folded text in which every run of other characters is one space."""
     return F.trim(F.regexp_replace(fold(c), f"[^{KEPT}]+", " "))

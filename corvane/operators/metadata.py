@@ -2,18 +2,20 @@
 
 Pages become a table of lines; what one line shows (issue, identifier, publisher, date, a labelled list)
 is found by expressions on that table, and values compete by the strength of their evidence: cover over
-body over file name. Only blocks of lines, titles, abstracts and authors, are read in order, one
-document's lines at a time.
+body over file name. Blocks of lines (titles, abstracts, keywords) are intervals of line numbers: windows over a page
+give where they begin and end. Only authors, whose footnotes and addresses are matched up, are read in Python, from
+the pages that have any.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from corvane.functions import text as X
 from corvane.functions.dates import SEASONS
@@ -31,11 +33,11 @@ JOURNAL, FORUM, BRIEF, REPORT = "defense_policy_research", "defense_forum", "kid
 # The forms of names, dates, issues and headings that documents of these kinds use.
 _NAME = "[가-힣]{2,5}"
 _EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
-_DAY = r"((?:19|20)\d{2})\s*년\s*(1[0-2]|0?[1-9])\s*월\s*(3[01]|[12]\d|0?[1-9])\s*일"
-_MONTH = r"((?:19|20)\d{2})\s*년\s*(1[0-2]|0?[1-9])\s*월"
-_DOTTED = r"((?:19|20)\d{2})\s*\.\s*(1[0-2]|0?[1-9])\s*\."
-_SEASON = r"((?:19|20)\d{2})\s*년\s*(봄|여름|가을|겨울)\s*(?:\(([^)]+)\))?"
-_YEAR = r"((?:19|20)\d{2})\s*년"
+_DAY = r"(?<!\d)((?:19|20)\d{2})\s*년\s*(1[0-2]|0?[1-9])\s*월\s*(3[01]|[12]\d|0?[1-9])\s*일"
+_MONTH = r"(?<!\d)((?:19|20)\d{2})\s*년\s*(1[0-2]|0?[1-9])\s*월"
+_DOTTED = r"(?<!\d)((?:19|20)\d{2})\s*\.\s*(1[0-2]|0?[1-9])\s*\."
+_SEASON = r"(?<!\d)((?:19|20)\d{2})\s*년\s*(봄|여름|가을|겨울)\s*(?:\(([^)]+)\))?"
+_YEAR = r"(?<!\d)((?:19|20)\d{2})\s*년"
 _MASTHEAD = rf"제\s*(\d+)\s*호\s*\(\s*\d{{2}}\s*-\s*\d{{1,2}}\s*\)\s*{_DAY}"
 _ISSUE = r"\((\d{1,3})\s*-\s*(\d{1,3})\)"
 _REPORT_ID = r"연구\s*보고서(?:\s+[가-힣]+(?:\s*(?:19|20)\d{2}-\d+)?)?"
@@ -194,95 +196,166 @@ def resolve_dates(candidates: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-# Blocks of lines, in reading order.
+# Blocks of lines.
 
-_AUTHOR_LINE = re.compile(rf"(?:{_NAME}\s*\*+(?:\s*\d+\))?[\s,·]*)+")
+_AUTHOR_LINE = rf"(?:{_NAME}\s*\*+(?:\s*\d+\))?[\s,·]*)+"
 _AUTHOR = re.compile(rf"({_NAME})\s*(\*+)")
 _FOOTNOTE = re.compile(r"(\*+)\s*(.+)")
-_ROLE = re.compile(rf"({_NAME})\s+({ROLES})")
-_NAMES = re.compile(rf"{_NAME}(?:\s*[,·]\s*{_NAME})*")
-_NOTE = re.compile(r"(?:[†‡]+|\d+\))+\s*$")
-_SUBTITLE = re.compile(r"[-‐-—]\s*(.+?)\s*[-‐-—]")
-_HEADER = re.compile(rf"{_MASTHEAD}|{_BRIEF_HEAD}|(?:발행처|발행인|편집인).*|국방논단.*")
-_DATED = re.compile("|".join((_DAY, _DOTTED, _MONTH, _SEASON)))
-_MAIL = re.compile(_EMAIL)
-_HOME = re.compile(AFFILIATIONS)
+_ROLE = rf"({_NAME})\s+({ROLES})"
+_NAMES = rf"{_NAME}(?:\s*[,·]\s*{_NAME})*"
+_TEAM = rf"{_NAME}(?:\(자문\))?(?:[\s,·]+{_NAME}(?:\(자문\))?)*[\s,·]*"
+_NOTE = r"(?:[†‡]+|\d+\))+\s*$"
+_SUBTITLE = r"^[-‐-—]\s*(.+?)\s*[-‐-—]$"
+_HEADER = rf"{_MASTHEAD}|{_BRIEF_HEAD}|(?:발행처|발행인|편집인).*|국방논단.*"
+_DATED = "|".join((_DAY, _DOTTED, _MONTH, _SEASON))
+
+
+def _page() -> WindowSpec:
+    return Window.partitionBy("doc", "page")
 
 
-def _author_at(lines: list[str], start: int = 0) -> int | None:
-    """The line of a periodical that names authors: with a role, or alone above an affiliation or address."""
-    for i in range(start, min(len(lines), 20)):
-        if _ROLE.search(lines[i]):
-            return i
-        if _NAMES.fullmatch(lines[i]) and any(_HOME.search(x) or _MAIL.search(x) for x in lines[i + 1 : i + 4]):
-            return i
-    return None
+def _down() -> WindowSpec:
+    return _page().orderBy("pos")
 
 
-def _report_author_at(lines: list[str], hint: str | None) -> int | None:
-    for i, line in enumerate(lines[:12]):
-        tokens = [t.removesuffix("(자문)") for t in re.split(r"[\s,·]+", line) if t]
-        names = tokens and all(re.fullmatch(_NAME, t) for t in tokens)
-        if names and (hint in tokens or "," in line or (len(tokens) >= 3 and all(len(t) == 3 for t in tokens))):
-            return i
-    return None
+def _first(flag: Column) -> Column:
+    """Number of the first line of a page that has a flag."""
+    return F.min(F.when(flag, F.col("pos"))).over(_page())
 
 
-def _is_report_mark(line: str) -> bool:
-    return bool(
-        re.fullmatch(_REPORT_ID, line) or line.upper().startswith("ISBN") or line in PUBLISHERS
-        or line.startswith(("발행처", "발행기관")) or _DATED.search(line) or re.fullmatch(_YEAR, line)
+def _last(flag: Column) -> Column:
+    return F.max(F.when(flag, F.col("pos"))).over(_page())
+
+
+def flagged_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """``lines`` with what each line is by itself, ``hint``, the author that the file's name gives, and ``author_at``,
+    the line of the page that names its authors."""
+    c = F.col
+    whole = lambda p: c("line").rlike(f"^(?:{p})$")
+    hints = files.select("doc", F.when(c("name").rlike(r"^\d+_[^_]+_.+$"), F.trim(F.split("name", "_", 3)[1])).alias("hint"))
+    team = F.filter(F.split("line", r"[\s,·]+"), lambda t: t != "")
+    team = F.transform(team, lambda t: F.regexp_replace(t, r"\(자문\)$", ""))
+    flags = {
+        "header": whole(_HEADER),
+        "section": c("line").rlike(_SECTION),
+        "abstract_head": c("line").rlike(_ABSTRACT),
+        "keyword_head": c("line").rlike(_KEYWORDS),
+        "starred": whole(_AUTHOR_LINE),
+        "role": c("line").rlike(_ROLE),
+        "names": whole(_NAMES),
+        "placed": c("line").rlike(f"{AFFILIATIONS}|{_EMAIL}"),
+        "dated": c("line").rlike(_DATED),
+        "journal_head": c("line").startswith("국방정책연구") | F.lower("line").contains("doi.org/") | F.upper("line").startswith("ISSN "),
+        "imprint": whole(f"{_REPORT_ID}|{_YEAR}|(?:발행처|발행기관).*|(?i:ISBN).*") | c("line").isin(*PUBLISHERS),
+    }
+    marked = lines.join(hints, "doc", "left").withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
+    below = F.coalesce(F.bool_or("placed").over(_down().rowsBetween(1, 3)), F.lit(False))
+    three = (F.size(team) >= 3) & F.forall(team, lambda t: F.length(t) == 3)
+    named = F.coalesce(F.array_contains(team, c("hint")), F.lit(False)) | c("line").contains(",") | three
+    marked = marked.withColumns({"signed": c("role") | (c("names") & below), "team": whole(_TEAM) & named})
+    report, roles = (c("kind") == REPORT) & (c("source") == "cover"), _first(c("role") & (c("pos") < 20))
+    at = F.when(report, _first(c("team") & (c("pos") < 12)))
+    at = F.coalesce(at, roles, _first(c("signed") & (c("pos") < 20)))
+    starred = _first(c("starred"))
+    return marked.withColumn("author_at", F.when(c("kind") == JOURNAL, starred).otherwise(at))
+
+
+def title_lines(flagged: DataFrame) -> DataFrame:
+    """The lines of the title on each cover: what stands between the last line of a head and the first of what follows."""
+    c = F.col
+    over = F.coalesce(
+        F.when(c("kind") == JOURNAL, _last(c("journal_head") & (c("pos") < 8))).when(
+            c("kind").isin(FORUM, BRIEF), _last(c("header") & (c("pos") < 10))
+        ),
+        F.lit(-1),
+    )
+    seen = flagged.filter("source = 'cover'").withColumn("over", over)
+    follows = (
+        F.when(c("kind") == JOURNAL, c("starred") | c("section") | c("abstract_head"))
+        .when(c("kind").isin(FORUM, BRIEF), c("signed") & (c("pos") < 20))
+        .when(c("kind") == REPORT, c("imprint") | c("dated") | (c("pos") == _first(c("team") & (c("pos") < 12))) | (c("pos") >= 12))
+        .otherwise(c("header") | c("dated") | c("placed") | (c("pos") >= 8))
+    )
+    seen = seen.withColumn("follows", F.coalesce(follows, F.lit(False)))
+    # A report's imprint may stand above its title, too; other kinds begin below their head.
+    inside = ~c("follows") & (c("pos") > c("over"))
+    begin = F.when(c("kind").isin(JOURNAL, FORUM, BRIEF), c("over") + 1).otherwise(_first(inside))
+    seen = seen.withColumn("begin", begin)
+    seen = seen.withColumn("stop", _first(c("follows") & (c("pos") >= c("begin"))))
+    one = (c("kind").isin(JOURNAL, FORUM, BRIEF, REPORT)) | (c("pos") == c("begin"))
+    closed = c("stop").isNotNull() | ~c("kind").isin(FORUM, BRIEF)
+    within = (c("pos") >= c("begin")) & (c("stop").isNull() | (c("pos") < c("stop"))) & one & closed
+    again = c("kind").isin(FORUM, BRIEF) & F.coalesce(F.lower("line") == F.lower(F.lag("line").over(_down())), F.lit(False))
+    return seen.filter(within).withColumn("again", again).filter("NOT again").select("doc", "page", "pos", "line", "source")
+
+
+def title_candidates(flagged: DataFrame) -> DataFrame:
+    """Titles and subtitles: the last line between dashes, or what follows the first colon."""
+    grouped = title_lines(flagged).groupBy("doc", "page").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    clean = F.transform("l.line", lambda x: F.trim(F.regexp_replace(x, _NOTE, "")))
+    parts = grouped.select("doc", "page", F.filter(clean, lambda x: x != "").alias("l")).filter("size(l) > 0")
+    dashed = F.when(F.size("l") > 1, F.regexp_extract(F.element_at("l", -1), _SUBTITLE, 1))
+    dashed = F.when(dashed != "", dashed)
+    split = F.split(F.array_join("l", " "), "\\s*[:\uff1a]\\s*", 2)
+    title = F.when(dashed.isNotNull(), F.array_join(F.slice("l", F.lit(1), F.size("l") - 1), " ")).otherwise(split[0])
+    rows = parts.select("doc", "page", F.trim(title).alias("title"), F.coalesce(F.trim(dashed), F.get(split, F.lit(1))).alias("subtitle"))
+    return rows.unpivot(["doc", "page"], ["title", "subtitle"], "field", "value").filter("value <> ''").select(
+        "doc", "field", "value", F.lit(STRENGTH["cover"]).alias("strength"), (F.col("page") * 100_000).cast("long").alias("pos"), F.lit(0.96).alias("confidence")
     )
 
 
-def _title(kind: str, lines: list[str], hint: str | None) -> list[str]:
-    if kind == JOURNAL:
-        heads = [i for i, x in enumerate(lines[:8]) if x.startswith("국방정책연구") or "doi.org/" in x.lower() or x.upper().startswith("ISSN ")]
-        out = []
-        for line in lines[heads[-1] + 1 if heads else 0 :]:
-            if _AUTHOR_LINE.fullmatch(line) or re.match(_SECTION, line) or re.match(_ABSTRACT, line):
-                break
-            out.append(line)
-        return out
-    if kind in (FORUM, BRIEF):
-        heads = [i for i, x in enumerate(lines[:10]) if _HEADER.fullmatch(x)]
-        start = heads[-1] + 1 if heads else 0
-        stop = _author_at(lines, start)
-        out = []
-        for line in lines[start:stop] if stop else []:
-            if not out or line.casefold() != out[-1].casefold():
-                out.append(line)
-        return out
-    if kind == REPORT:
-        author, out = _report_author_at(lines, hint), []
-        for i, line in enumerate(lines[:12]):
-            if _is_report_mark(line) or i == author:
-                if out:
-                    break
-                continue
-            out.append(line)
-        return out
-    plain = (x for x in lines[:8] if not (_HEADER.fullmatch(x) or _DATED.search(x) or _HOME.search(x) or _MAIL.search(x)))
-    return list(plain)[:1]
+def abstract_candidates(flagged: DataFrame) -> DataFrame:
+    """What follows the first heading of an abstract that anything follows, up to keywords or the next section. Below
+    an English heading the author's lines are passed over: the text begins, within five lines, with one that is
+    indented or has twelve words, else with the second."""
+    c = F.col
+    prose = c("raw").rlike(r"^\s") | (F.size(F.split("line", r"\s+")) >= 12)
+    later = F.min(F.when(prose, c("pos"))).over(_down().rowsBetween(1, 5))
+    begin = F.when(F.lower("line").startswith("abstract"), F.coalesce(later, c("pos") + 2)).otherwise(c("pos") + 1)
+    next_heads = F.collect_list("keyword_head").over(_down().rowsBetween(1, 5))
+    headed = flagged.withColumns({"begin": begin, "next_heads": next_heads})
+    followed = c("abstract_head") & ~F.coalesce(F.get("next_heads", c("begin") - c("pos") - 1), F.lit(True))
+    headed = headed.withColumn("begin", F.min(F.when(followed, F.struct("pos", "begin"))).over(_page())["begin"])
+    stop = _first((c("keyword_head") & (c("pos") >= c("begin"))) | (c("section") & (c("pos") > c("begin"))))
+    body = headed.withColumn("stop", stop).filter((c("pos") >= c("begin")) & (c("stop").isNull() | (c("pos") < c("stop"))))
+    return _joined(body, "line").select("doc", F.lit("abstract").alias("field"), F.col("body").alias("value"), "strength", "pos", F.lit(0.9).alias("confidence"))
+
+
+def keyword_candidates(flagged: DataFrame) -> DataFrame:
+    """The values of the first label for keywords that has any, with the lines below it up to a note or a heading."""
+    c = F.col
+    ends = c("line").rlike("^[*†‡]") | c("section") | c("abstract_head") | c("header")
+    rest = F.regexp_replace("line", _KEYWORDS, "")
+    below = ~F.coalesce(F.lead(ends).over(_down()), F.lit(True))
+    labelled = flagged.withColumn("begin", _first(c("keyword_head") & ((rest != "") | below)))
+    labelled = labelled.withColumn("stop", _first(ends & (c("pos") > c("begin"))))
+    body = labelled.filter((c("pos") >= c("begin")) & (c("stop").isNull() | (c("pos") < c("stop"))))
+    body = body.withColumn("said", F.when(c("pos") == c("begin"), rest).otherwise(c("line")))
+    words = F.filter(F.transform(F.split("body", "[,;\uff1b]"), lambda w: F.trim(w)), lambda w: w != "")
+    each = _joined(body, "said").select("doc", "strength", "pos", F.posexplode(words).alias("n", "value"))
+    return each.select("doc", F.lit("keywords").alias("field"), "value", "strength", (c("pos") + c("n")).alias("pos"), F.lit(0.94).alias("confidence"))
+
 
+def _joined(block: DataFrame, column: str) -> DataFrame:
+    """Rows (doc, strength, pos, body): the lines of one block of a page, joined by spaces."""
+    grouped = block.groupBy("doc", "page", "source").agg(F.array_sort(F.collect_list(F.struct("pos", column))).alias("l"))
+    place = (F.col("page") * 100_000).cast("long").alias("pos")
+    return grouped.select("doc", _strength(F.col("source")).alias("strength"), place, F.array_join(f"l.{column}", " ").alias("body"))
 
-def _split_title(lines: list[str]) -> tuple[str, str | None]:
-    clean = [x for x in (_NOTE.sub("", line).strip() for line in lines) if x]
-    if len(clean) > 1 and (m := _SUBTITLE.fullmatch(clean[-1])):
-        return " ".join(clean[:-1]), m[1].strip()
-    title, _, rest = re.sub("\\s*[:\uff1a]\\s*", "\x00", " ".join(clean), count=1).partition("\x00")
-    return title, rest or None
 
+# Authors.
 
-def _authors(kind: str, lines: list[str], cover: bool, hint: str | None) -> list[tuple]:
-    """(name, role, affiliation, email, confidence) in order."""
+_MAIL = re.compile(_EMAIL)
+_HOME = re.compile(AFFILIATIONS)
+_PEOPLE = re.compile(_ROLE)
+
+
+def _authors(kind: str, lines: list[str], at: int, cover: bool) -> list[tuple]:
+    """(name, role, affiliation, email, confidence) in order, of the line ``at`` and what belongs to it."""
     if kind == JOURNAL:
-        line = next((x for x in lines if _AUTHOR_LINE.fullmatch(x)), None)
-        if line is None:
-            return []
         notes = {m[1]: m[2] for x in lines if (m := _FOOTNOTE.fullmatch(x))}
         out = []
-        for name, mark in _AUTHOR.findall(line):
+        for name, mark in _AUTHOR.findall(lines[at]):
             note = notes.get(mark)
             mail = _MAIL.search(note) if note else None
             parts = [p.strip() for p in _MAIL.sub("", note or "").split(",") if p.strip()]
@@ -290,98 +363,55 @@ def _authors(kind: str, lines: list[str], cover: bool, hint: str | None) -> list
             role = ", ".join(p for p in parts if not _HOME.search(p)) or None
             out.append((name, role, home, mail[0] if mail else None, 0.98 if note else 0.88))
         return out
-    if kind == REPORT and cover and (at := _report_author_at(lines, hint)) is not None:
+    roles = _PEOPLE.findall(lines[at])
+    if kind == REPORT and cover and not roles and re.fullmatch(_TEAM, lines[at]):
         return [(t.removesuffix("(자문)"), None, None, None, 0.9) for t in re.split(r"[\s,·]+", lines[at]) if t]
-    at = next((i for i, x in enumerate(lines[:20]) if _ROLE.search(x)), None)
-    at = _author_at(lines) if at is None else at
-    if at is None:
-        return []
     near = lines[at + 1 : at + 5]
     mails = [m for x in near for m in _MAIL.findall(x)]
     home = next((x for x in near if _HOME.search(x) and not _MAIL.search(x)), None)
-    roles = _ROLE.findall(lines[at])
     if not roles and not cover:
         return []
     people = [(n, r) for n, r in roles] or [(n, None) for n in re.split(r"\s*[,·]\s*", lines[at])]
     return [(n, r, home, mails[i] if i < len(mails) else None, 0.94 if r else 0.9) for i, (n, r) in enumerate(people)]
 
 
-def _abstract(lines: list[str]) -> str | None:
-    for i, line in enumerate(lines):
-        if not re.match(_ABSTRACT, line):
-            continue
-        body: list[str] = []
-        for x in lines[i + 1 :]:
-            if re.match(_KEYWORDS, x) or (body and re.match(_SECTION, x)):
-                break
-            body.append(x)
-        if body:
-            return " ".join(body)
-    return None
-
-
-def _keywords(lines: list[str]) -> list[str]:
-    for i, line in enumerate(lines):
-        if not re.match(_KEYWORDS, line):
-            continue
-        held = [re.sub(_KEYWORDS, "", line)]
-        for x in lines[i + 1 :]:
-            if x.startswith(("*", "†", "‡")) or re.match(_SECTION, x) or re.match(_ABSTRACT, x) or _HEADER.fullmatch(x):
-                break
-            held.append(x)
-        return [k for k in (p.strip() for p in re.split("[,;\uff1b]", " ".join(held))) if k]
-    return []
-
-
-_BLOCKS = (
-    "doc {kind}, fields array<struct<field:string,value:string,strength:int,pos:bigint,confidence:double>>, "
-    "authors array<struct<name:string,role:string,affiliation:string,email:string,confidence:double>>"
-)
+_PERSONS = "array<struct<name:string,role:string,affiliation:string,email:string,confidence:double>>"
 
 
-def block_candidates(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """One row a document: candidates from blocks of lines, and its authors: those of a cover, else of the body, else
-    of the file name."""
-    hints = files.select(
-        "doc", F.when(F.col("name").rlike(r"^\d+_[^_]+_.+$"), F.trim(F.split("name", "_", 3)[1])).alias("hint")
+def author_groups(flagged: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows (doc, authors): those of the first page of the cover that names any, else of the body, else of the file
+    name. Only pages with a line of authors go to Python."""
+    kind = flagged.schema["doc"].dataType.simpleString()
+    pages = flagged.filter("author_at IS NOT NULL").groupBy("doc", "kind", "page", "source").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"), F.min("author_at").cast("int").alias("at")
     )
-    joined = lines.select("doc", "kind", "page", "pos", "line", "source").join(hints, "doc", "left")
-
-    def read(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["page", "pos"])
-        kind, hint = rows["kind"].iloc[0], rows["hint"].iloc[0]
-        hint = hint if isinstance(hint, str) and hint else None
-        fields, groups = [], {"cover": None, "body": None}
-        for page, part in rows.groupby("page", sort=True):
-            text, source = part["line"].tolist(), part["source"].iloc[0]
-            put = lambda f, v, c, source=source, page=page, n=0: fields.append(
-                (f, v, STRENGTH[source], int(page) * 100_000 + n, c)
-            )
-            if source == "cover" and (block := _title(kind, text, hint)):
-                title, sub = _split_title(block)
-                if title:
-                    put("title", title, 0.96)
-                if sub:
-                    put("subtitle", sub, 0.96)
-            if (body := _abstract(text)) is not None:
-                put("abstract", body, 0.9)
-            for n, k in enumerate(_keywords(text)):
-                put("keywords", k, 0.94, n=n)
-            if groups[source] is None:
-                groups[source] = _authors(kind, text, source == "cover", hint) or None
-        people = groups["cover"] or groups["body"] or ([(hint, None, None, None, 0.3)] if hint else [])
-        return pd.DataFrame([(rows["doc"].iloc[0], fields, people)], columns=["doc", "fields", "authors"])
-
-    schema = _BLOCKS.format(kind=lines.schema["doc"].dataType.simpleString())
-    return joined.groupBy("doc").applyInPandas(read, schema)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [
+                (r.doc, r.page, r.source, _authors(r.kind, list(r.lines), r.at, r.source == "cover"))
+                for r in batch.itertuples(index=False)
+            ]
+            yield pd.DataFrame(found, columns=["doc", "page", "source", "authors"])
+
+    sent = pages.select("doc", "kind", "page", "source", F.col("l.line").alias("lines"), "at")
+    read_out = sent.mapInPandas(read, f"doc {kind}, page int, source string, authors {_PERSONS}").filter("size(authors) > 0")
+    best = read_out.groupBy("doc").agg(F.min_by("authors", F.struct(-_strength(F.col("source")), F.col("page"))).alias("found"))
+    hint = F.when(F.col("name").rlike(r"^\d+_[^_]+_.+$"), F.trim(F.split("name", "_", 3)[1]))
+    nothing = F.lit(None).cast("string")
+    alone = F.array(F.struct(hint.alias("name"), nothing.alias("role"), nothing.alias("affiliation"), nothing.alias("email"), F.lit(0.3).alias("confidence")))
+    named = files.select("doc", F.when(hint != "", alone).cast(_PERSONS).alias("alone"))
+    docs = flagged.select("doc").distinct()
+    return docs.join(best, "doc", "left").join(named, "doc", "left").select("doc", F.coalesce("found", "alone").alias("authors"))
 
 
 def extract(pages: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of values (doc, field, value, failure_reason), authors (doc, ordinal, ...) and dates of documents."""
     lines = page_lines(pages)
-    blocks = block_candidates(lines, files)
-    found = blocks.select("doc", F.inline("fields"))
-    every = line_candidates(lines).unionByName(found).unionByName(filename_candidates(files))
+    flagged = flagged_lines(lines, files)
+    every = line_candidates(lines).unionByName(filename_candidates(files))
+    for found in (title_candidates(flagged), abstract_candidates(flagged), keyword_candidates(flagged)):
+        every = every.unionByName(found)
     single = resolve_evidence(every.filter("field <> 'keywords'"), ["doc", "field"]).drop("strength")
     words = every.filter("field = 'keywords'")
     top = words.groupBy("doc").agg(F.max("strength").alias("strength"))
@@ -391,6 +421,6 @@ def extract(pages: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, D
     keywords = kept.select(
         "doc", F.lit("keywords").alias("field"), "value", F.lit(None).cast("string").alias("failure_reason")
     )
-    authors = blocks.select("doc", F.posexplode("authors").alias("ordinal", "a")).select("doc", "ordinal", "a.*")
+    authors = author_groups(flagged, files).select("doc", F.posexplode("authors").alias("ordinal", "a")).select("doc", "ordinal", "a.*")
     dates = resolve_dates(date_candidates(lines), lines)
     return single.unionByName(keywords), authors, dates

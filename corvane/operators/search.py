@@ -30,7 +30,7 @@ def lexical_search(
 ) -> DataFrame:
     """Columns (id_col, score, matched_fields, matched_terms), best first.
 
-    A term counts wherever its characters stand. Document frequencies come from all of ``docs``; ``allowed`` only
+    A term counts wherever its characters stand, in any normal form. The counts are written at the call. Document frequencies come from all of ``docs``; ``allowed`` only
     restricts what is ranked. ``limit`` None ranks all.
     """
     terms = X.query_terms(query)
@@ -40,8 +40,9 @@ def lexical_search(
     texts = docs.select(
         id_col,
         (allowed if allowed is not None else F.lit(True)).alias("__allowed"),
-        *[X.search_text(F.coalesce(c, F.lit(""))).alias(f"__{f}") for f, c in fields.items()],
+        *[X.fold(X.composed(F.coalesce(c, F.lit("")))).alias(f"__{f}") for f, c in fields.items()],
     )
+    # Terms hold kept characters only, so they stand in the folded text as often as in what a clean-up would leave of it.
     # Text is read once: what remains is a count for each field and term.
     counts = {(f, i): F.col(f"__tf_{f}_{i}") for f in fields for i in range(len(terms))}
     counted = materialise(

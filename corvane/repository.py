@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -29,8 +30,9 @@ class Filters:
         if self.types:
             fits = fits & F.col("publication_type").isin(*self.types)
         if self.authors:
-            labels = [a.casefold() for a in self.authors]
-            fits = fits & F.exists("authors", lambda a: X.contains_any(X.fold(a), labels))
+            labels = [unicodedata.normalize("NFC", a).casefold() for a in self.authors]
+            # One string, for an array's elements cannot go to Python one by one; no label holds the separator.
+            fits = fits & X.contains_any(X.fold(X.composed(F.array_join("authors", "\x00"))), labels)
         if self.start or self.end:
             fits = fits & D.in_range(F.col(_DATE), F.col(_YEAR), self.start, self.end)
         return fits
@@ -38,7 +40,7 @@ class Filters:
 
 class Publications:
     """Queries on (publication_id, publication_type, title, abstract, keywords, content, authors, publication_date,
-    filename_year). Every method returns a lazy table."""
+    filename_year). Every method returns a lazy table; a search writes its term counts at the call."""
 
     def __init__(self, publications: DataFrame) -> None:
         self.rows = publications

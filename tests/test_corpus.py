@@ -147,6 +147,31 @@ def test_metadata(spark):
     assert when["p"] == ("None", "unknown", None, "unqualified_date")
 
 
+def test_metadata_blocks(spark):
+    """English abstracts below their authors, headings without a body, repeated title lines, years inside numbers."""
+    long = "This text has more than twelve words and so it is where an abstract really begins here"
+    texts = {
+        "e": (M.JOURNAL, f"국방정책연구 제1호\n제목 하나\n홍길동*\nAbstract\nHong Gildong\nProfessor\n{long}\nmore\nKeywords: a, b;\nc\n* note\nd"),
+        "n": (M.JOURNAL, "초록\n주제어: x\n요약\n몸글\n1. 서론\n뒤"),
+        "f": (M.FORUM, "국방논단\n같은 제목\n같은 제목\n둘째 줄\n김연구 연구원\n한국국방연구원"),
+        "y": (M.REPORT, "연구보고서 안보 2020-1\n큰 제목\n12024년 3월\n한국국방연구원"),
+        "z": (M.REPORT, "연구보고서 안보 2020-1\n큰 제목\n2024년 3월\n한국국방연구원"),
+    }
+    pages = spark.createDataFrame([(d, k, 1, t) for d, (k, t) in texts.items()], "doc string, kind string, page int, text string")
+    files = spark.createDataFrame([(d, f"{d}.pdf") for d in texts], "doc string, name string")
+    values, authors, dates = M.extract(pages, files)
+    got = {}
+    for r in rows(values):
+        got.setdefault((r["doc"], r["field"]), []).append(r["value"])
+    assert got["e", "abstract"] == [f"{long} more"] and sorted(got["e", "keywords"]) == ["a", "b", "c"]
+    assert got["e", "title"] == ["제목 하나"]
+    assert got["n", "abstract"] == ["몸글"] and got["n", "keywords"] == ["x"]
+    assert got["z", "title"] == ["큰 제목"]
+    assert {r["name"] for r in rows(authors) if r["doc"] == "f"} == {"김연구"}
+    when = {r["doc"]: str(r["published_at"]) for r in rows(dates)}
+    assert when["y"] == "None" and when["z"] == "2024-03-01"
+
+
 def test_evidence_conflict(spark):
     data = [("a", "t", "X", 3, 1), ("a", "t", "x", 3, 2), ("b", "t", "X", 3, 1), ("b", "t", "Y", 3, 2), ("c", "t", "Z", 1, 1), ("c", "t", "W", 2, 2)]
     got = {r["doc"]: (r["value"], r["failure_reason"]) for r in rows(C.resolve_evidence(spark.createDataFrame(data, "doc string, field string, value string, strength int, pos int"), ["doc", "field"]))}

@@ -271,3 +271,22 @@ def test_pdf_pages(spark):
     df = spark.createDataFrame([("a", b"%PDF-1.4\n%%EOF"), ("b", b"text")], "path string, content binary")
     got = {r["path"]: r["failure"] for r in rows(parse_pdf_pages(df))}
     assert got["b"] == "invalid_pdf_header" and got["a"] in ("reader_unavailable", "corrupt_structure")
+
+
+def test_decomposed_text_is_found(spark):
+    """NFC and NFD forms of one word, marks that change a letter, and the count of a term in text with other characters."""
+    import math
+    import unicodedata
+
+    from corvane.operators import search as S
+    from corvane.repository import Filters, Publications
+
+    nfd = lambda t: unicodedata.normalize("NFD", t)
+    rows = [("a", "국방-국방, 정책", ["김연구"]), ("b", nfd("국방 정책"), [nfd("김연구"), "x"]), ("c", nfd("é è"), ["김", "연구"]), ("d", None, None)]
+    docs = spark.createDataFrame(rows, "id string, text string, authors array<string>")
+    find = lambda q: {r["id"]: r["score"] for r in S.lexical_search(docs, q, {"content": docs["text"]}, "id", None).collect()}
+    idf = math.log(5 / 3) + 1
+    assert find(nfd("국방")) == {"a": pytest.approx((1 + math.log(2)) * idf), "b": pytest.approx(idf)}
+    assert find("e") == {}
+    pubs = docs.selectExpr("id AS publication_id", "'t' AS publication_type", "text AS title", "authors")
+    assert {r["publication_id"] for r in Publications(pubs).rows.filter(Filters(authors=["김연구"]).column()).collect()} == {"a", "b"}
