@@ -45,6 +45,8 @@ OFTEN = 8
 #: Bytes of text for each bucket, buckets that a task counts one after the other, and tasks at which these grow.
 BUCKET_BYTES = 4 << 20
 TASK_BUCKETS, MAX_TASKS = 2, 100_000
+#: Of zstd, for all that is sent to buckets.
+LEVEL = 6
 #: One in so many documents, and strings of these, are added up by minimiser.
 DOC_SHARE, STRING_SHARE = 16, 256
 #: Bytes of strings of one minimiser, over the whole input, from which its group is hot.
@@ -109,7 +111,7 @@ def _words_of(buffer: bytes, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _pack(*parts: bytes) -> bytes:
     head = np.array([len(parts), *map(len, parts)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(head + b"".join(parts))
 
 
 def _unpack(payload: bytes) -> list[bytes]:
