@@ -136,9 +136,10 @@ def _edges_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield close()
 
 
-def overlap_edges(heads: DataFrame, docs: DataFrame, text: str, block: int = 1024) -> DataFrame:
+def overlap_edges(heads: DataFrame, docs: DataFrame, text: str, block: int = 1024, id_col: str | None = None) -> DataFrame:
     """Edges (a, b) between the sets of ``heads`` (set, th, bands): enough of the links found to join all that they
-    join. ``th`` is the hash of a text in ``docs`` that has the set."""
+    join. ``th`` is the hash of a text in ``docs`` that has the set. With ``id_col``, ``heads`` has the ``id`` of one such
+    row, too, and a text's other copies stay where they are: they are no hot key."""
     up, down = LEAST
     exploded = heads.select("set", F.posexplode("bands").alias("band", "key"))
     marks = F.sum(F.xxhash64("set").bitwiseAND(F.lit((1 << 40) - 1)))
@@ -146,9 +147,12 @@ def overlap_edges(heads: DataFrame, docs: DataFrame, text: str, block: int = 102
     runs = exploded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("set").alias("least"), marks.alias("run"))
     members = exploded.join(runs.filter("n > 1"), ["band", "key"]).select("run", "n", "least", "set").distinct()
     shared = materialise(members, "overlap-shared")
-    wanted = heads.join(shared.select("set").distinct(), "set", "left_semi").select("th")
-    texts = docs.select(F.xxhash64(text).alias("th"), F.col(text).alias("text")).join(wanted, "th", "left_semi")
-    texts = texts.groupBy("th").agg(F.any_value("text").alias("text")).select("text")
+    wanted = heads.join(shared.select("set").distinct(), "set", "left_semi").alias("w")
+    rows = docs.select(F.col(id_col or text).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).alias("r")
+    same = F.col("r.th") == F.col("w.th")
+    if id_col:
+        same &= F.col("r.id").eqNullSafe(F.col("w.id"))
+    texts = rows.join(wanted, same, "left_semi").groupBy("th").agg(F.any_value("text").alias("text")).select("text")
     sets = materialise(texts.mapInArrow(_sets, "set long, hashes array<long>").dropDuplicates(["set"]), "overlap-sets")
 
     pairs = shared.filter("set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")).distinct()
@@ -177,7 +181,10 @@ def near_copy_members(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     marked = materialise(rows.mapInArrow(_marks, f"id {kind}, th long, fp long, set long, bands array<long>"), "overlap-marks")
     heads = materialise(
-        marked.groupBy("set").agg(F.min("th").alias("th"), F.any_value("bands").alias("bands")), "overlap-heads"
+        marked.groupBy("set")
+        .agg(F.min(F.struct("th", "id")).alias("one"), F.any_value("bands").alias("bands"))
+        .select("set", "one.id", "one.th", "bands"),
+        "overlap-heads",
     )
     # One set stands for all of a fingerprint; links between fingerprints are links between these.
     fps = marked.select("fp", "set").distinct()
@@ -186,7 +193,7 @@ def near_copy_members(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     dealt = first.select("fp").repartition(docs.sparkSession.sparkContext.defaultParallelism * 4, "fp")
     near = simhash.near_fingerprint_edges(dealt)
     near = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
-    edges = same.union(near).union(overlap_edges(heads, docs, text))
+    edges = same.union(near).union(overlap_edges(heads, docs, text, id_col=id_col))
     nodes = materialise(
         connected_components(edges).select(F.col("node").alias("set"), F.col("component").alias("root")), "overlap-nodes"
     )
