@@ -5,8 +5,10 @@ from __future__ import annotations
 from corvane.llm import (
     chat,
     decontaminate,
+    fill_in_middle,
     licenses,
     mixing,
+    packing,
     quality,
     sharding,
     simhash,
@@ -26,6 +28,8 @@ OPERATORS = {
     "op8_simhash_near_dedup": simhash,
     "op9_license_scans": licenses,
     "op10_sharding": sharding,
+    "op11_fill_in_middle": fill_in_middle,
+    "op13_best_fit_packing": packing,
 }
 
 
