@@ -6,6 +6,7 @@ from corvane.llm import (
     chat,
     decontaminate,
     fill_in_middle,
+    hard_negatives,
     licenses,
     mixing,
     packing,
@@ -29,6 +30,7 @@ OPERATORS = {
     "op9_license_scans": licenses,
     "op10_sharding": sharding,
     "op11_fill_in_middle": fill_in_middle,
+    "op12_hard_negatives": hard_negatives,
     "op13_best_fit_packing": packing,
 }
 

@@ -58,6 +58,7 @@ def empty_dir(spark, tmp_path_factory):
     tables = {
         "documents": DOCS,
         "pages": "page_id long, url string, html string",
+        "embeddings": "vec_id long, embedding array<float>, label int",
         "conversations": "conv_id long, turn long, role string, text string",
         "benchmark": "item_id long, text string",
     }
