@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as X
+from corvane.operators import candidates as near
 from corvane.operators import golden as Q
 from corvane.operators import review as R
 from corvane.operators import scoring as S
@@ -149,6 +150,14 @@ def near_duplicates_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.agg(F.min("p_partkey").alias("first_key"), (F.count("*") - 1).alias("later")).filter("later > 0")
 
 
+@register("candidate_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as candidates, in order of their key: title and question both near those of one kept before."""
+    question = F.concat_ws(" ", "p_type", "p_brand", "p_size", "p_retailprice")
+    parts = table(spark, sf_dir, "part").withColumn("question", question).withColumn("place", F.lit(0))
+    return near.drop_near_duplicates(parts, "p_partkey", "p_name", "question", ["place"])
+
+
 _DECISION = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'click' THEN 'hold' ELSE 'reject' END"
 _LOG = f"log AS (SELECT user_id % 20 AS run, user_id AS candidate_id, event_id, ts, {_DECISION} AS decision FROM events WHERE user_id % 9 <> 0)"
 
