@@ -3,9 +3,10 @@
 Two texts with a Ratcliff-Obershelp ratio of r have matching blocks of M characters in all, 2M >= r (a + b) for lengths a
 and b; what is left over parts them into at most (1 - r)(a + b) + 1 blocks. A block of n characters holds n - 2 pieces of
 three, so near texts share at least ``(a + b)(r/2 - 2(1 - r)) - 2`` pieces, numbered by occurrence, or are equal. Of
-texts that must share k of their n pieces, the n - k + 1 rarest of each hold a common one. Pairs must have one in their titles
-*and* one in their questions, so the join is on pairs of rare pieces; lengths and counts of characters rule out most of what
-it finds before a ratio is worked out.
+texts that must share k of their n pieces, the n - k + 1 rarest of each hold a common one. Distinct titles are joined on such
+pieces; then candidates of near titles are joined on title and rare piece of the question, so a title that
+very many share does not pair them all. Lengths and counts of characters rule out most of what is found before a
+ratio is worked out.
 
 Which candidates stay depends on their order: one stays unless an earlier one that stayed is near. It is settled
 in rounds over the table of near pairs: who has no earlier unsettled neighbour stays, and settles those after it. No task
@@ -20,7 +21,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from corvane.functions import text as X
 from corvane.storage import materialise
@@ -83,26 +83,31 @@ def near_pairs(heads: DataFrame, least: float = NEAR) -> DataFrame:
     if least < NEAR:
         raise ValueError("pieces are counted for ratios of 0.9 or more only")
     heads = materialise(heads, "candidate-heads")
-    title = _rare_pieces(heads.select(F.col("t")).distinct(), "t", "t", "tp")
-    question = _rare_pieces(heads.select(F.col("q")).distinct(), "q", "q", "qp")
-    rows = materialise(heads.join(title, "t").join(question, "q"), "candidate-rare")
-    keyed = rows.withColumn("a", F.explode("tp")).withColumn("b", F.explode("qp"))
-    x, y = keyed.alias("x"), keyed.alias("y")
-    # A pair is found at each pair of pieces that it shares and taken at the first.
-    first = (F.col("x.a") == F.array_min(F.array_intersect("x.tp", "y.tp"))) & (F.col("x.b") == F.array_min(F.array_intersect("x.qp", "y.qp")))
-    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.b") == F.col("y.b"))
-    able = _close(F.col("x.t"), F.col("y.t"), least) & _close(F.col("x.q"), F.col("y.q"), least)
-    found = x.join(y, same & (F.col("x.place") < F.col("y.place")) & able & first).select(
-        F.col("x.place").alias("earlier"),
-        F.col("y.place").alias("later"),
-        ratio_from(F.col("y.t"), F.col("x.t"), F.lit(least)).alias("title_ratio"),
-        F.col("x.q").alias("xq"),
-        F.col("y.q").alias("yq"),
+    titles = materialise(_near_titles(heads.select("t").distinct(), least), "candidate-titles")
+    question = _rare_pieces(heads.select("q").distinct(), "q", "q", "qp")
+    rows = materialise(heads.join(question, "q"), "candidate-rare")
+    earlier = rows.select(F.col("place").alias("earlier"), F.col("t").alias("of"), F.col("q").alias("xq"), F.col("qp").alias("xp"), F.explode("qp").alias("piece"))
+    later = rows.join(titles, "t").select(
+        F.col("place").alias("later"), "of", "title_ratio", F.col("q").alias("yq"), F.col("qp").alias("yp"), F.explode("qp").alias("piece")
     )
-    near = found.filter("title_ratio IS NOT NULL").withColumn("question_ratio", ratio_from(F.col("yq"), F.col("xq"), F.lit(least)))
+    # A pair is found at each piece that it shares and taken at the first.
+    first = F.col("piece") == F.array_min(F.array_intersect("xp", "yp"))
+    able = (F.col("earlier") < F.col("later")) & _close(F.col("xq"), F.col("yq"), least)
+    found = earlier.join(later, ["of", "piece"]).filter(able & first)
+    near = found.withColumn("question_ratio", ratio_from(F.col("yq"), F.col("xq"), F.lit(least)))
     return near.filter("question_ratio IS NOT NULL").select("earlier", "later", "title_ratio", "question_ratio")
 
 
+def _near_titles(titles: DataFrame, least: float) -> DataFrame:
+    """(t, of, title_ratio): for each title those that it is near to, itself among them. A ratio may change with the order
+    of the two texts, so both orders are looked at."""
+    keyed = _rare_pieces(titles, "t", "t", "tp").select("t", F.explode("tp").alias("piece"))
+    pairs = keyed.join(keyed.withColumnRenamed("t", "of"), "piece").filter((F.col("t") != F.col("of")) & _close(F.col("t"), F.col("of"), least))
+    pairs = pairs.select("t", "of").distinct().withColumn("title_ratio", ratio_from(F.col("t"), F.col("of"), F.lit(least)))
+    own = titles.select("t", F.col("t").alias("of"), F.lit(1.0).alias("title_ratio"))
+    return pairs.filter("title_ratio IS NOT NULL").union(own)
+
+
 def settle(pairs: DataFrame) -> DataFrame:
     """(place): all that do not stay, of pairs (earlier, later). Each round settles whoever has no unsettled neighbour
     before it, which stays, and those after it, which go; a pair is forgotten when one of its ends is settled."""
