@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.text import csv_safe
+from corvane.sources.versions import Version, Versions
 
 
 def guard_output(output: str, inputs: list[str]) -> None:
@@ -70,12 +73,38 @@ def append_events(df: DataFrame, path: str) -> None:
 
 
 def replace_atomically(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then rename: readers see the old table or the new one."""
+    """Write beside ``path`` and take its place by two renames. The old table is put aside first, not deleted, and comes back
+    if the second rename fails. Who opens ``path`` between the two finds no table; where that matters use
+    :func:`publish_table`."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    staged = f"{path.rstrip('/')}.staged"
-    df.write.mode("overwrite").parquet(staged)
-    new, old = jvm.org.apache.hadoop.fs.Path(staged), jvm.org.apache.hadoop.fs.Path(path)
-    files = new.getFileSystem(conf)
-    files.delete(old, True)
-    if not files.rename(new, old):
+    plain = path.rstrip("/")
+    staged, aside = (jvm.org.apache.hadoop.fs.Path(f"{plain}.{kind}-{uuid.uuid4().hex}") for kind in ("staged", "aside"))
+    target = jvm.org.apache.hadoop.fs.Path(plain)
+    df.write.parquet(staged.toString())
+    files = staged.getFileSystem(conf)
+    had = files.exists(target)
+    if had and not files.rename(target, aside):
+        raise OSError(f"cannot put {plain} aside")
+    if not files.rename(staged, target):
+        if had:
+            files.rename(aside, target)
         raise OSError(f"cannot rename {staged}")
+    if had:
+        files.delete(aside, True)
+
+
+def publish_table(spark: SparkSession, df: DataFrame, root: str) -> Version:
+    """Make ``df`` the current version of ``root``: readers see the old table or the new one, and the old one's files stay
+    for those that are reading them. Of two writers that began with the same version one fails."""
+    versions = Versions(spark, root)
+    seen, staged = versions.current(), versions.fresh()
+    df.write.parquet(staged)
+    return versions.publish(staged, seen)
+
+
+def read_current(spark: SparkSession, root: str) -> DataFrame:
+    """What :func:`publish_table` wrote last."""
+    version = Versions(spark, root).current()
+    if version is None:
+        raise FileNotFoundError(f"{root} has no version")
+    return spark.read.parquet(version.path)
