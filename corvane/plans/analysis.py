@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from corvane.functions import dates as D
 from corvane.operators.analysis import Filter, Request, analyse
 from corvane.plans.catalogue import register
+from corvane.repository import Filters, Publications
 from corvane.sources.tables import table
 
 
@@ -98,6 +99,11 @@ _PUBLICATIONS = """publications AS (
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
 
+def _repository(spark: SparkSession, sf_dir: str) -> Publications:
+    rows = _publications(spark, sf_dir).withColumnRenamed("published", "publication_date")
+    return Publications(rows.withColumn("authors", F.array("author")))
+
+
 @register(
     "filter_authors_types_dates",
     f"""WITH {_PUBLICATIONS} SELECT publication_id, author FROM publications
@@ -106,14 +112,8 @@ WHERE publication_type IN ('1-URGENT', '2-HIGH') AND (contains(lower(author), '0
       ELSE coalesce(filename_year BETWEEN 1996 AND 1998, FALSE) END""",
 )
 def filter_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _publications(spark, sf_dir)
-    labels = ("00001", "#000000042")
-    author = F.lower("author")
-    return rows.filter(
-        F.col("publication_type").isin("1-URGENT", "2-HIGH")
-        & (author.contains(labels[0]) | author.contains(labels[1]))
-        & D.in_range(F.col("published"), F.col("filename_year"), "1996-03-15", "1998-06-30")
-    ).select("publication_id", "author")
+    wanted = Filters(["1-URGENT", "2-HIGH"], ["00001", "#000000042"], "1996-03-15", "1998-06-30")
+    return _repository(spark, sf_dir).rows.filter(wanted.column()).select("publication_id", F.col("authors")[0].alias("author"))
 
 
 @register(
@@ -122,9 +122,8 @@ def filter_publications(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT publication_id, publication_type, day FROM dated ORDER BY day DESC, publication_id LIMIT 50""",
 )
 def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = D.effective_day(F.col("published"), F.col("filename_year"))
-    rows = _publications(spark, sf_dir).select("publication_id", "publication_type", day.alias("day"))
-    return rows.orderBy(F.desc("day"), "publication_id").limit(50)
+    day = D.effective_day(F.col("publication_date"), F.col("filename_year"))
+    return _repository(spark, sf_dir).recent(50).select("publication_id", "publication_type", day.alias("day"))
 
 
 @register(
@@ -135,9 +134,7 @@ UNION ALL SELECT 'type', publication_type, count(*)::BIGINT FROM y GROUP BY ALL
 UNION ALL SELECT 'unknown_year', NULL, count(*)::BIGINT FROM y WHERE y IS NULL""",
 )
 def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    year = D.effective_year(F.col("published"), F.col("filename_year"))
-    rows = _publications(spark, sf_dir).select("publication_type", year.alias("y"))
-    by_both = rows.groupBy("publication_type", "y").agg(F.count("*").alias("n"))  # one pass over the data
+    by_both = _repository(spark, sf_dir).distribution().withColumnRenamed("year", "y")  # one pass over the data
     part = lambda kind, key, kept: (
         by_both.filter(kept).groupBy(F.lit(kind).alias("kind"), key.cast("string").alias("key")).agg(F.sum("n").alias("n"))
     )

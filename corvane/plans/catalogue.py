@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
 
 
-from corvane.plans import analysis, builds, corpus, issues, metrics, scoring, search, signals  # noqa: E402, F401  (they register their queries)
+from corvane.plans import analysis, builds, corpus, files, issues, metrics, scoring, search, signals  # noqa: E402, F401  (they register their queries)

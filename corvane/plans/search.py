@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import search as S
 from corvane.plans.catalogue import register
+from corvane.repository import Publications
 from corvane.sources.tables import spread, table
 
 _NORM = "trim(regexp_replace(replace(lower({}), 'ß', 'ss'), '[^0-9a-z가-힣]+', ' ', 'g'))"
@@ -87,8 +88,12 @@ _KEYWORDS = ["nicht", "verschach", "und", "zeit"]
 @register("lexical_related_keywords", _lexical_sql(_KEYWORDS, _CONTENT))
 def lexical_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related by distinct keywords: their union is the query."""
-    query = " ".join(dict.fromkeys([*_KEYWORDS, "und"]))
-    return _shown(S.lexical_search(_docs(spark, sf_dir), query, {"content": F.col("text")}, "doc_id", 20))
+    none = F.lit(None).cast("string")
+    rows = _docs(spark, sf_dir).select(
+        F.col("doc_id").alias("publication_id"), none.alias("title"), none.alias("abstract"), F.array().cast("array<string>").alias("keywords"), F.col("text").alias("content")
+    )
+    found = Publications(rows).find_related_by_keywords([*_KEYWORDS, "und"], 20)
+    return _shown(found.withColumnRenamed("publication_id", "doc_id"))
 
 
 @register("lexical_empty_query", "SELECT doc_id, 0.0::DOUBLE AS score, '' AS matched_fields, '' AS matched_terms FROM documents LIMIT 0")

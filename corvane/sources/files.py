@@ -185,38 +185,40 @@ def ingestion_report(documents: DataFrame) -> DataFrame:
     return done.crossJoin(copies)  # one row each
 
 
+def json_pages(raw: str | None) -> list[tuple[int | None, str | None, str | None]]:
+    """(page, text, failure) of the pages of a JSON array, in order; faults are rows with their code."""
+    try:
+        pages = json.loads(raw) if raw is not None else None
+    except ValueError:
+        pages = None
+    if not isinstance(pages, list):
+        return [(None, None, "corrupt_structure")]
+    if not pages:
+        return [(None, None, "empty_document")]
+    out: list[tuple[int | None, str | None, str | None]] = []
+    good: dict[int, str] = {}
+    twice: set[int] = set()
+    for p in pages:
+        number = p.get("page") if isinstance(p, Mapping) else None
+        body = p.get("text") if isinstance(p, Mapping) else None
+        if isinstance(number, bool) or not isinstance(number, int) or number < 1 or not isinstance(body, str):
+            out.append((None, None, "corrupt_structure"))
+        elif number in good or number in twice:
+            twice.add(number)
+            good.pop(number, None)
+        else:
+            good[number] = body
+    out += [(n, None, "corrupt_structure") for n in sorted(twice)]
+    blank = {n for n, body in good.items() if not body.strip()}
+    return out + [(n, None, "empty_page") if n in blank else (n, good[n], None) for n in sorted(good)]
+
+
 def parse_pages(documents: DataFrame) -> DataFrame:
     """Rows (path, page, text, failure) of the pages of JSON documents, in order; faults are rows with their code."""
 
     def read(batches):
         for batch in batches:
-            out = []
-            for path, raw in zip(batch["path"], batch["page_json"], strict=True):
-                try:
-                    pages = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    pages = None
-                if not isinstance(pages, list):
-                    out.append((path, None, None, "corrupt_structure"))
-                    continue
-                if not pages:
-                    out.append((path, None, None, "empty_document"))
-                good: dict[int, str] = {}
-                twice: set[int] = set()
-                for p in pages:
-                    number = p.get("page") if isinstance(p, Mapping) else None
-                    body = p.get("text") if isinstance(p, Mapping) else None
-                    if isinstance(number, bool) or not isinstance(number, int) or number < 1 or not isinstance(body, str):
-                        out.append((path, None, None, "corrupt_structure"))
-                    elif number in good or number in twice:
-                        twice.add(number)
-                        good.pop(number, None)
-                    else:
-                        good[number] = body
-                out += [(path, n, None, "corrupt_structure") for n in sorted(twice)]
-                for n in sorted(good):
-                    blank = not good[n].strip()
-                    out.append((path, n, None if blank else good[n], "empty_page" if blank else None))
+            out = [(path, *row) for path, raw in zip(batch["path"], batch["page_json"], strict=True) for row in json_pages(raw)]
             yield pd.DataFrame(out, columns=["path", "page", "text", "failure"]).astype({"page": "Int32"})
 
     return documents.filter("kind = 'json' AND failure IS NULL").select("path", "page_json").mapInPandas(read, _PAGES)
