@@ -13,6 +13,7 @@ from corvane.plans.corpus import _FOLD
 from corvane.sources import verified
 from corvane.sources.tables import spread, table
 from corvane.storage import scratch_path
+from corvane.streaming import review_state as R
 
 
 @register(
@@ -124,3 +125,33 @@ def vector_index_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chunks = chunks.withColumn("chunk_index", F.when(n % 20 == 3, n - 1).otherwise(n))
     return V.chunk_faults(chunks, "1").groupBy("fault").agg(F.count("*").alias("chunks"))
+
+
+_DECISION = "CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'click' THEN 'hold' ELSE 'reject' END"
+
+
+@register(
+    "review_log_stream",
+    f"""WITH log AS (SELECT user_id % 20 AS run, user_id AS candidate_id, {_DECISION} AS decision, ts, event_id FROM events),
+marked AS (SELECT *, max(ts) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM log),
+judged AS (SELECT *, coalesce(ts < before, FALSE) AS late FROM marked)
+SELECT run::VARCHAR AS run_id, candidate_id::VARCHAR AS candidate_id, decision, event_id AS arrived, CASE WHEN late THEN 'rejected' ELSE 'accepted' END AS kind,
+  CASE WHEN NOT late THEN count(*) FILTER (WHERE NOT late) OVER (PARTITION BY run ORDER BY event_id) END::BIGINT AS sequence FROM judged""",
+)
+def review_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream of reviews in two parts, with a restart between them."""
+    source, out, mark = (scratch_path(spark, f"reviews-{n}") for n in ("in", "out", "checkpoint"))
+    kind, key = F.col("event_type"), F.col("event_id")
+    decision = F.when(kind == "purchase", "approve").when(kind == "click", "hold").otherwise("reject")
+    reviews = table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 20).cast("string").alias("run_id"),
+        F.col("user_id").cast("string").alias("candidate_id"),
+        decision.alias("decision"),
+        F.col("ts").cast("timestamp").alias("reviewed_at"),
+        key.alias("arrived"),
+    )
+    middle = reviews.agg(F.max("arrived")).first()[0] or 0
+    for part in (F.col("arrived") <= middle / 2, F.col("arrived") > middle / 2):
+        reviews.filter(part).write.mode("append").parquet(source)
+        R.run_review_log(spark.readStream.schema(reviews.schema).parquet(source), out, mark)
+    return spark.read.parquet(out).select("run_id", "candidate_id", "decision", "arrived", "kind", "sequence")
