@@ -44,9 +44,9 @@ def spans_cover(df: DataFrame, spans: str, text: str) -> DataFrame:
     return broken(df, "spans cover the text", joined == expect)
 
 
-def increasing(df: DataFrame, group: Sequence[str], column: str) -> DataFrame:
-    """Rows whose value is not above the one before, by the group's own order of ``column``."""
-    order = Window.partitionBy(*group).orderBy(column)
+def increasing(df: DataFrame, group: Sequence[str], column: str, by: Sequence[str]) -> DataFrame:
+    """Rows whose value is not above the one before, in the order of ``by`` within the group; null values do not count."""
+    order = Window.partitionBy(*group).orderBy(*by)
     before = df.withColumn("__before", F.lag(column).over(order))
     return before.filter(F.col("__before") >= F.col(column)).drop("__before").withColumn("expectation", F.lit("strict order"))
 

@@ -66,7 +66,7 @@ def collapse_spaces(c: Column) -> Column:
 
 def metadata_text(c: Column) -> Column:
     """Control and format characters and white space made single spaces."""
-    return F.trim(F.regexp_replace(c, r"[\p{Cc}\p{Cf}\s]+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\p{Cc}\p{Cf}\s]+", " "))
 
 
 def content_tokens(c: Column, stop_words: Sequence[str] = (), least: int = 2) -> Column:

@@ -32,14 +32,19 @@ def replay_recognition(pages: DataFrame, recorded: DataFrame) -> DataFrame:
     return joined.withColumn("failure", F.when(missing, "provider_error"))
 
 
-def recognise(pages: DataFrame, recognised: DataFrame) -> DataFrame:
+def recognise(pages: DataFrame, recognised: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """Pages (doc, page, text, requires_ocr, status) merged with recognised ones (doc, page, ocr, confidence, failure).
 
-    A page is eligible if its document asks for recognition and the page is blank, or if the document's status sends it
-    to remediation. Recognised text is taken only where it is better; ``decision`` says why or why not."""
-    blank = F.coalesce(F.col("text"), F.lit("")).rlike(r"^\s*$")
+    The result has the pages that either side knows. A page is eligible if its document asks for recognition and it is a blank page of the
+    base, or if the document's status sends it to remediation. ``documents`` (doc, requires_ocr, status) tells this
+    for documents without pages in the base; without it they are not eligible. Recognised text is taken only where it is better; ``decision`` says why or
+    why not."""
+    known = pages.groupBy("doc").agg(F.bool_or("requires_ocr").alias("requires_ocr"), F.max("status").alias("status")) if documents is None else documents
+    base = pages.select("doc", "page", "text", F.lit(True).alias("__base"))
+    blank = F.coalesce("__base", F.lit(False)) & F.coalesce(F.col("text"), F.lit("")).rlike(r"(?U)^\s*$")
     eligible = (F.col("requires_ocr") & blank) | F.col("status").isin(*OCR_STATUSES)
-    joined = pages.join(recognised.withColumn("__there", F.lit(True)), ["doc", "page"], "left")
+    joined = base.join(recognised.withColumn("__there", F.lit(True)), ["doc", "page"], "full_outer")
+    joined = joined.join(known.select("doc", "requires_ocr", "status"), "doc", "left")
     decision = ocr_decision(F.col("text"), F.col("ocr"), F.col("confidence"), F.col("failure"))
     chosen = F.when(~F.coalesce(eligible, F.lit(False)), "not_eligible").when(F.col("__there").isNull(), "not_attempted").otherwise(decision)
     return joined.withColumn("decision", chosen).select(
@@ -65,9 +70,14 @@ def cap_novelty(candidates: DataFrame, similar: DataFrame, cap: float = 20.0, le
     )
 
 
-def planning_cards(approved: DataFrame, references: DataFrame, outlines: Mapping[str, Sequence[str]]) -> DataFrame:
+def planning_cards(
+    approved: DataFrame, references: DataFrame, outlines: Mapping[str, Sequence[str]], gate: DataFrame | None = None, run: str = "run"
+) -> DataFrame:
     """Cards of approved candidates (candidate_id, title, output_type, evidence): references by kind in the order of the
-    evidence, an outline by output, and how far the evidence goes."""
+    evidence, an outline by output, and how far the evidence goes. With ``gate``, what :func:`corvane.operators.review.gate_status`
+    gives, only candidates of runs that are ready get one."""
+    if gate is not None:
+        approved = approved.join(gate.filter("status = 'ready'").select(run), run, "left_semi")
     each = approved.select("candidate_id", F.posexplode("evidence").alias("pos", "id"))
     known = each.join(references.select("id", "kind"), "id")
     lists = known.groupBy("candidate_id").agg(

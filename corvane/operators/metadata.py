@@ -83,21 +83,21 @@ def _strength(source: Column) -> Column:
 
 
 def line_candidates(lines: DataFrame) -> DataFrame:
-    """Rows (doc, field, value, strength, pos, confidence) of what single lines show."""
+    """Rows (doc, field, value, strength, pos, confidence) of what single lines show: publishers and every DOI of all lines, and
+    the volume and number of the first line of a page that names them."""
 
     def found(pattern: str, group: int) -> Column:
         value = F.regexp_extract("line", pattern, group)
         return F.when(value != "", value)
 
     top = F.col("pos") < 10
-    doi = F.regexp_replace(F.regexp_extract("line", r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+", 0), r"[.,;]+$", "")
+    dois = F.regexp_extract_all("line", F.lit(r"((?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+)"), F.lit(1))
     publisher = F.coalesce(found(r"^(?:발행처|발행기관)\s*[:\uff1a]?\s*(.+)$", 1), F.when(F.col("line").isin(*PUBLISHERS), F.col("line")))
     rules = [
         ("organization", F.when(F.col("pos") < 15, publisher), 0.96),
         ("volume", F.when(top & (F.col("kind") == JOURNAL), found(_ISSUE, 1)), 0.98),
         ("issue_number", F.when(top & (F.col("kind") == JOURNAL), found(_ISSUE, 2)), 0.98),
         ("issue_number", F.when(top & (F.col("kind") == FORUM), found(r"제\s*(\d+)\s*호", 1)), 0.96),
-        ("doi", F.when(doi != "", doi), 0.99),
     ]
     each = F.array(
         *[
@@ -105,9 +105,16 @@ def line_candidates(lines: DataFrame) -> DataFrame:
             for f, v, c in rules
         ]
     )
-    rows = lines.select("doc", "page", "pos", _strength(F.col("source")).alias("strength"), F.explode(F.array_compact(each)).alias("c"))
+    ids = F.transform(
+        dois, lambda d: F.struct(F.lit("doi").alias("field"), F.regexp_replace(d, r"[.,;]+$", "").alias("value"), F.lit(0.99).alias("confidence"))
+    )
+    found_here = F.explode(F.concat(F.array_compact(each), ids)).alias("c")
+    rows = lines.select("doc", "page", "source", "pos", found_here).select("doc", "page", "source", "pos", "c.*")
     place = (F.col("page") * 100_000 + F.col("pos")).cast("long")
-    return rows.select("doc", "c.field", "c.value", "strength", place.alias("pos"), "c.confidence")
+    shown = lambda df: df.select("doc", "field", "value", _strength(F.col("source")).alias("strength"), place.alias("pos"), "confidence")
+    numbers = F.col("field").isin("volume", "issue_number")
+    first = rows.filter(numbers).groupBy("doc", "page", "source", "field").agg(F.min_by(F.struct("pos", "value", "confidence"), "pos").alias("f"))
+    return shown(rows.filter(~numbers)).union(shown(first.select("doc", "page", "source", "field", "f.*")))
 
 
 def filename_candidates(files: DataFrame) -> DataFrame:

@@ -20,19 +20,26 @@ TRANSITIONS = (
 )
 
 
+#: The decisions that approve a candidate.
+APPROVALS = ("approve", "approve_with_edits")
+
+
 def latest_decision(events: DataFrame, key: Sequence[str], order: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """The last event of each key, as an aggregate."""
     last = F.max_by(F.struct(*keep), F.struct(*order)).alias("__last")
     return events.groupBy(*key).agg(last).select(*key, "__last.*")
 
 
-def gate_status(candidates: DataFrame, latest: DataFrame, run: str, key: Sequence[str]) -> DataFrame:
-    """Runs with a candidate undecided await review; else those with an approval are ready; the rest are completed."""
+def gate_status(
+    candidates: DataFrame, latest: DataFrame, run: str, key: Sequence[str], undecided: Sequence[str] = ("hold",), approvals: Sequence[str] = APPROVALS
+) -> DataFrame:
+    """Runs with a candidate that has no decision, or one of ``undecided``, await review; else those with an approval are
+    ready; the rest are completed."""
     joined = candidates.join(latest, list(key), "left")
     counts = joined.groupBy(run).agg(
         F.count("*").alias("candidates"),
-        F.count_if(F.col("decision").isNull()).alias("pending"),
-        F.count_if(F.col("decision") == "approve").alias("approved"),
+        F.count_if(F.col("decision").isNull() | F.col("decision").isin(*undecided)).alias("pending"),
+        F.count_if(F.col("decision").isin(*approvals)).alias("approved"),
     )
     status = F.when(F.col("pending") > 0, "awaiting_review").when(F.col("approved") > 0, "ready").otherwise("completed")
     return counts.withColumn("status", status)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from corvane.functions import text as X
 from corvane.operators import candidates as near
 from corvane.operators import golden as Q
+from corvane.operators import issues
 from corvane.operators import review as R
 from corvane.operators import scoring as S
 from corvane.plans.catalogue import register
@@ -188,7 +189,28 @@ FROM c LEFT JOIN latest l ON c.run = l.run AND c.candidate_id = l.candidate_id G
 )
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     candidates = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), F.col("user_id").alias("candidate_id")).distinct()
-    return R.gate_status(candidates, latest(spark, sf_dir).drop("event_id"), "run", ["run", "candidate_id"])
+    return R.gate_status(candidates, latest(spark, sf_dir).drop("event_id"), "run", ["run", "candidate_id"], undecided=())
+
+
+@register(
+    "review_gate_cards",
+    f"""WITH log AS (SELECT user_id % 20 AS run, user_id AS candidate_id, event_id, ts, {_DECISION} AS decision FROM events),
+latest AS (SELECT run, candidate_id, arg_max(decision, (ts, event_id)) AS decision FROM log GROUP BY ALL),
+gate AS (SELECT run, CASE WHEN count(*) FILTER (WHERE decision = 'hold') > 0 THEN 'awaiting_review' WHEN count(*) FILTER (WHERE decision = 'approve') > 0 THEN 'ready' ELSE 'completed' END AS status,
+  count(*)::BIGINT AS candidates, count(*) FILTER (WHERE decision = 'hold')::BIGINT AS pending, count(*) FILTER (WHERE decision = 'approve')::BIGINT AS approved FROM latest GROUP BY run)
+SELECT gate.*, CASE WHEN status = 'ready' THEN approved ELSE 0 END::BIGINT AS cards FROM gate""",
+)
+def gate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate of every run over all events, a decision on hold being none, and the cards that it lets through."""
+    kind = F.col("event_type")
+    decision = F.when(kind == "purchase", "approve").when(kind == "click", "hold").otherwise("reject")
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("run"), F.col("user_id").alias("candidate_id"), "event_id", "ts", decision.alias("decision"))
+    decided = R.latest_decision(log, ["run", "candidate_id"], ["ts", "event_id"], ["decision"])
+    status = R.gate_status(decided.select("run", "candidate_id"), decided, "run", ["run", "candidate_id"])
+    approved = decided.filter("decision = 'approve'").select("run", "candidate_id", F.lit("report").alias("output_type"), F.array(F.col("candidate_id")).alias("evidence"))
+    known = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("publication").alias("kind"))
+    cards = issues.planning_cards(approved, known, {}, status).groupBy("run").agg(F.count("*").alias("cards"))
+    return status.join(cards, "run", "left").withColumn("cards", F.coalesce("cards", F.lit(0)))
 
 
 @register(

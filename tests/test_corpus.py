@@ -319,3 +319,46 @@ def test_expectations(spark):
     assert E.covered(df, "id", df.filter("v = 0.5"), "id").count() == 1
     with pytest.raises(ValueError):
         E.require(E.valid_ids(df, "id"))
+
+
+def test_order_is_not_the_values_own(spark):
+    pages = spark.createDataFrame([("d", 1, 3), ("d", 2, 1), ("d", 3, 2), ("e", 1, 1), ("e", 2, 1), ("e", 3, None)], "doc string, at int, page int")
+    assert [(r["doc"], r["at"]) for r in rows(E.increasing(pages, ["doc"], "page", ["at"]))] == [("d", 2), ("e", 2)]
+
+
+def test_numbers_of_the_first_line_and_all_dois(spark):
+    from corvane.operators import metadata as M
+
+    said = ["제 10 호", "지난 제 9 호", "10.1234/abc. and 10.5678/x-y;", "발행처: 어느 곳"]
+    lines = spark.createDataFrame([("d", 1, i, t, M.FORUM, "cover_page") for i, t in enumerate(said)], "doc string, page int, pos int, line string, kind string, source string")
+    found = sorted((r["field"], r["value"]) for r in rows(M.line_candidates(lines)))
+    assert found == [("doi", "10.1234/abc"), ("doi", "10.5678/x-y"), ("issue_number", "10"), ("organization", "어느 곳")]
+
+
+def test_white_space_of_other_scripts(spark):
+    from corvane.functions import text as X
+
+    df = spark.createDataFrame([("\u00a0a\u3000 b\u200b\x01c\u2028",)], "t string")
+    assert df.select(X.metadata_text(F.col("t")).alias("t")).first()["t"] == "a b c"
+
+
+def test_recognised_pages_that_the_base_lacks(spark):
+    from corvane.operators import issues as I
+
+    pages = spark.createDataFrame([("a", 1, "text", True, "ready"), ("a", 2, " ", True, "ready"), ("b", 1, "x", False, "low_text")], "doc string, page int, text string, requires_ocr boolean, status string")
+    ocr = spark.createDataFrame([("a", 2, "two", 0.9), ("a", 3, "three", 0.9), ("b", 2, "more", 0.9), ("c", 1, "alone", 0.9)], "doc string, page int, ocr string, confidence double").withColumn("failure", F.lit(None).cast("string"))
+    got = {(r["doc"], r["page"]): (r["text"], r["decision"]) for r in rows(I.recognise(pages, ocr))}
+    assert got[("a", 2)] == ("two", "adopted") and got[("a", 3)] == (None, "not_eligible") and got[("b", 2)] == ("more", "adopted")
+    assert got[("b", 1)] == ("x", "not_attempted") and got[("c", 1)] == (None, "not_eligible")
+    known = spark.createDataFrame([("a", True, "ready"), ("b", False, "low_text"), ("c", False, "orphan_pdf")], "doc string, requires_ocr boolean, status string")
+    got = {(r["doc"], r["page"]): r["decision"] for r in rows(I.recognise(pages, ocr, known))}
+    assert got[("c", 1)] == "adopted"
+
+
+def test_gate(spark):
+    from corvane.operators import review as R
+
+    latest = spark.createDataFrame([(1, "a", "approve_with_edits"), (1, "b", "reject"), (2, "c", "hold"), (2, "d", "approve"), (3, "e", "reject")], "run int, candidate_id string, decision string")
+    candidates = latest.select("run", "candidate_id").union(spark.createDataFrame([(4, "f")], "run int, candidate_id string"))
+    got = {r["run"]: (r["status"], r["pending"], r["approved"]) for r in rows(R.gate_status(candidates, latest, "run", ["run", "candidate_id"]))}
+    assert got == {1: ("ready", 0, 1), 2: ("awaiting_review", 1, 1), 3: ("completed", 0, 0), 4: ("awaiting_review", 1, 0)}
