@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
+from corvane.operators import audit as A
+from corvane.operators import golden as Q
 from corvane.operators import issues as I
 from corvane.plans.catalogue import register
 from corvane.plans.scoring import _TOK
@@ -102,6 +104,47 @@ def question_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select("id", F.array_join("flags", ",").alias("flags"))
 
 
+@register(
+    "question_audit",
+    f"""WITH t AS (SELECT item_id AS id, split_part(text, '.', 1) AS question, item_id % 5 = 0 AS abstention, {_TOK.format("split_part(text, '.', 1)")} AS a, {_TOK.format("split_part(text, '.', 2)")} AS b, {_TOK.format('text')} AS w FROM benchmark),
+pages AS (SELECT doc_id, length(text) AS size, {_TOK.format('text')} AS s FROM documents WHERE contains(text, 'license')::INT + contains(text, 'reserved')::INT < 2),
+h AS (SELECT id, doc_id, size, count(*) AS hits FROM (SELECT id, unnest(w) AS token FROM t) x JOIN (SELECT doc_id, size, unnest(s) AS token FROM pages) d ON x.token = d.token GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hits DESC, size DESC, doc_id) AS place FROM h QUALIFY place <= 3),
+accepted AS (SELECT top.id, list_distinct(flatten(list(s))) AS held FROM top JOIN pages ON top.doc_id = pages.doc_id JOIN t ON t.id = top.id WHERE 2 * hits >= len(w) GROUP BY top.id),
+known AS (SELECT DISTINCT unnest({_TOK.format('text')}) AS token FROM documents),
+trap AS (SELECT id, count(*) AS n FROM (SELECT id, unnest(a) AS token FROM t WHERE abstention) x JOIN known ON x.token = known.token GROUP BY id),
+near AS (SELECT x.id, list(y.id ORDER BY y.id) AS ids FROM t x JOIN t y ON x.id < y.id AND len(x.a) > 0 AND len(y.a) > 0
+  AND len(list_intersect(x.a, y.a))::DOUBLE / len(list_distinct(list_concat(x.a, y.a))) >= 0.5 GROUP BY x.id),
+g AS (SELECT t.*, held, ids, CASE WHEN NOT abstention AND held IS NOT NULL AND len(b) > 0 THEN len(list_intersect(b, held))::DOUBLE / len(b) END AS share, coalesce(n, 0) AS n
+  FROM t LEFT JOIN accepted ON t.id = accepted.id LEFT JOIN trap ON t.id = trap.id LEFT JOIN near ON t.id = near.id),
+f AS (SELECT id, round(share, 6) AS grounding, list_filter([CASE WHEN share < 0.9 THEN 'low_grounding' END, CASE WHEN len(b) > 0 AND len(list_intersect(b, a))::DOUBLE / len(b) > 0.5 THEN 'answer_leak' END,
+  CASE WHEN ends_with(rtrim(question), 'the') OR ends_with(rtrim(question), 'of') THEN 'templated' END, CASE WHEN held IS NULL AND NOT abstention THEN 'unmapped_document' END,
+  CASE WHEN abstention AND len(a) > 0 AND n::DOUBLE / len(a) > 0.9 THEN 'trap_topic_present' END, CASE WHEN ids IS NOT NULL THEN 'near_duplicate' END], lambda x: x IS NOT NULL) AS fl, array_to_string(ids, ',') AS near_duplicates FROM g)
+SELECT id, grounding, array_to_string(fl, ',') AS flags, near_duplicates, row_number() OVER (ORDER BY len(fl) DESC, id)::BIGINT AS risk_rank FROM f""",
+)
+def question_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of the benchmark: its pages come from the data, by the tokens they share with the whole item."""
+    part = lambda n: F.split_part("text", F.lit("."), F.lit(n))
+    k = F.col("item_id")
+    items = table(spark, sf_dir, "benchmark")
+    questions = items.select(k.alias("id"), part(1).alias("question"), part(2).alias("answer"), (k % 5 == 0).alias("abstention"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    front = A.is_front_matter(F.col("text"), ("license", "reserved"))
+    pages = docs.filter(~front).select(F.col("doc_id").alias("page"), F.length("text").alias("size"), X.content_tokens(F.col("text")).alias("tokens"))
+    asked = items.select(k.alias("question"), X.content_tokens(F.col("text")).alias("tokens"))
+    proposed = Q.page_proposals(asked, pages, 3).join(asked, "question").filter(2 * F.col("hits") >= F.size("tokens"))
+    accepted = proposed.select(F.col("question").alias("id"), F.col("page").alias("doc_id")).join(docs, "doc_id").select("id", "text")
+    tokens = docs.select(F.explode(X.content_tokens(F.col("text"))).alias("token"))
+    audit = A.audit_questions(questions, accepted, tokens, ["the", "of"], grounded=0.9, near=0.5)
+    return audit.select(
+        "id",
+        F.round("grounding", 6).alias("grounding"),
+        F.array_join("flags", ",").alias("flags"),
+        F.array_join(F.col("near_duplicates").cast("array<string>"), ",").alias("near_duplicates"),
+        "risk_rank",
+    )
+
+
 @register("novelty_cap")
 def novelty_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as candidates; the part before and the part after as similar publications."""
