@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.operators.ranking import values_at
+
 OPERATIONS = ("row_count", "describe_numeric", "group_count", "group_mean", "pearson_correlation")
 OPERATORS = ("equals", "not_equals", "less_than", "less_than_or_equal", "greater_than", "greater_than_or_equal")
 
@@ -91,15 +93,19 @@ def analyse(df: DataFrame, request: Request) -> DataFrame:
     if request.operation == "row_count":
         return rows.agg(F.count("*").alias("row_count"))
     if request.operation == "describe_numeric":
-        return rows.agg(
+        sums = rows.agg(
             F.count(value).alias("count"),
             F.count_if(value.isNull()).alias("missing_count"),
             F.min(value).alias("minimum"),
             F.max(value).alias("maximum"),
             F.avg(value).alias("mean"),
-            F.median(value).alias("median"),
             F.stddev_pop(value).alias("population_standard_deviation"),
         )
+        # The two middle values, which are one if the count is odd: an exact median would gather all values in one buffer.
+        last = F.col("n") - 1
+        middle = values_at(rows.select(value.alias("value")), "value", [F.floor(last / 2), F.ceil(last / 2)])
+        both = sums.crossJoin(middle.agg(F.avg("value").alias("median")))  # one row each
+        return both.select("count", "missing_count", "minimum", "maximum", "mean", "median", "population_standard_deviation")
     if request.operation == "group_count":
         return rows.groupBy(F.col(request.group_by).alias("group")).agg(F.count("*").alias("count"))
     if request.operation == "group_mean":

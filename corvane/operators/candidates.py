@@ -83,7 +83,7 @@ def near_pairs(heads: DataFrame, least: float = NEAR) -> DataFrame:
     if least < NEAR:
         raise ValueError("pieces are counted for ratios of 0.9 or more only")
     heads = materialise(heads, "candidate-heads")
-    titles = materialise(_near_titles(heads.select("t").distinct(), least), "candidate-titles")
+    titles = materialise(near_titles(heads.select("t").distinct(), least), "candidate-titles")
     question = _rare_pieces(heads.select("q").distinct(), "q", "q", "qp")
     rows = materialise(heads.join(question, "q"), "candidate-rare")
     earlier = rows.select(F.col("place").alias("earlier"), F.col("t").alias("of"), F.col("q").alias("xq"), F.col("qp").alias("xp"), F.explode("qp").alias("piece"))
@@ -98,7 +98,7 @@ def near_pairs(heads: DataFrame, least: float = NEAR) -> DataFrame:
     return near.filter("question_ratio IS NOT NULL").select("earlier", "later", "title_ratio", "question_ratio")
 
 
-def _near_titles(titles: DataFrame, least: float) -> DataFrame:
+def near_titles(titles: DataFrame, least: float) -> DataFrame:
     """(t, of, title_ratio): for each title those that it is near to, itself among them. A ratio may change with the order
     of the two texts, so both orders are looked at."""
     keyed = _rare_pieces(titles, "t", "t", "tp").select("t", F.explode("tp").alias("piece"))
@@ -125,6 +125,13 @@ def settle(pairs: DataFrame) -> DataFrame:
     return gone
 
 
+def owners(pairs: DataFrame) -> DataFrame:
+    """(place, owner) of all that do not stay, of stored pairs (earlier, later): the first that stays and is near."""
+    gone = materialise(settle(pairs), "candidate-out")
+    stay = pairs.join(gone.withColumnRenamed("place", "earlier"), "earlier", "left_anti").groupBy(F.col("later").alias("place"))
+    return stay.agg(F.min("earlier").alias("owner")).join(gone, "place", "left_semi")
+
+
 def drop_near_duplicates(
     candidates: DataFrame, id_col: str, title: str, question: str, order: list[str], least: float = NEAR
 ) -> DataFrame:
@@ -140,10 +147,7 @@ def drop_near_duplicates(
     rows = materialise(candidates.select(place.alias("place"), text(title).alias("t"), text(question).alias("q")), "candidates")
     firsts = rows.groupBy("t", "q").agg(F.min("place").alias("place"))
     pairs = materialise(near_pairs(firsts, least), "candidate-near")
-    gone = materialise(settle(pairs), "candidate-out")
-    owners = pairs.join(gone.withColumnRenamed("place", "earlier"), "earlier", "left_anti").groupBy(F.col("later").alias("place"))
-    owners = owners.agg(F.min("earlier").alias("owner")).join(gone, "place", "left_semi")
-    heads = firsts.join(owners, "place", "left").select("t", "q", F.col("place").alias("head"), F.coalesce("owner", "place").alias("owner"))
+    heads = firsts.join(owners(pairs), "place", "left").select("t", "q", F.col("place").alias("head"), F.coalesce("owner", "place").alias("owner"))
     judged = rows.join(heads, ["t", "q"])
     stays = F.col("place") == F.col("owner")
     return judged.select(

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions import urls as U
-from corvane.operators.components import connected_components
+from corvane.operators.candidates import NEAR, near_titles, owners
 from corvane.operators.ranking import best_per_group
+from corvane.storage import materialise
 
 #: Order of tiers and types, and the confidence that a tier carries.
 TIERS = {"tier_1_official": 0, "tier_2_institutional": 1, "tier_3_news": 2, "tier_4_unverified": 3}
@@ -82,68 +82,31 @@ def dedupe_urls(sources: DataFrame, id_col: str, order: list[Column]) -> DataFra
     )
 
 
-def _piece_length(shorter: Column) -> Column:
-    """Characters that titles of a ratio of 0.92 share in one block, if the shorter one has this many.
-
-    Of L characters in both, at most 0.08 L are outside the common blocks, and each gap between blocks holds one of
-    them. So a pair of 13 characters or more shares a block of 3, from 25 on of 4, from 38 on of 5; fewer than 13
-    allow no difference at all.
-    """
-    return F.when(shorter >= 21, 5).when(shorter >= 14, 4).otherwise(3)
-
-
 def title_pairs(sources: DataFrame, id_col: str, title: str, least: float = TITLE_RATIO) -> DataFrame:
-    """Pairs (a, b, ratio) of near-equal canonical titles, a < b, equal titles once: the candidates are titles of close
-    length that share a piece. The join is on pieces, never on all pairs; ``least`` must be 0.92 or more."""
-    if least < TITLE_RATIO:
-        raise ValueError("pieces are long enough for ratios of 0.92 or more only")
+    """Pairs (a, b, ratio) of near-equal canonical titles, a < b, equal titles once. Candidates share one of the rarest pieces of
+    both (see :mod:`corvane.operators.candidates`), never all pairs of a frequent one; ``least`` must be 0.9 or more."""
+    if least < NEAR:
+        raise ValueError("pieces are counted for ratios of 0.9 or more only")
     rows = sources.select(F.col(id_col).alias("id"), X.canonical_text(F.col(title)).alias("t")).filter("t <> ''")
-    heads = rows.groupBy("t").agg(F.min("id").alias("id"))
-    n = F.length("t")
-    # A partner may be shorter; pieces are cut for the shortest one that the ratio allows, too.
-    sizes = F.array_distinct(F.array(_piece_length(n), _piece_length(F.ceil(n * (least / (2 - least))))))
-    cut = F.transform(
-        sizes,
-        lambda q: F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, q)),
-    )
-    pieces = heads.select("id", "t", F.explode(F.array_distinct(F.flatten(cut))).alias("piece"))
-    a, b = pieces.alias("a"), pieces.alias("b")
-    la, lb = F.length("a.t"), F.length("b.t")
-    close = (F.least(la, lb) * 2.0 / (la + lb)) >= least
-    pairs = a.join(b, (F.col("a.piece") == F.col("b.piece")) & (F.col("a.id") < F.col("b.id")) & close)
-    each = pairs.select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.t").alias("s"), F.col("b.t").alias("t")
-    ).distinct()
-    found = each.withColumn("ratio", X.match_ratio(F.col("s"), F.col("t")))
-    return found.filter(F.col("ratio") >= least).select("a", "b", "ratio")
+    heads = materialise(rows.groupBy("t").agg(F.min("id").alias("id")), "title-heads")
+    near = near_titles(heads.select("t"), least).filter("t <> of")
+    named = near.join(heads.withColumnRenamed("id", "a"), "t").join(heads.select(F.col("t").alias("of"), F.col("id").alias("b")), "of")
+    return named.filter("a < b").select("a", "b", F.col("title_ratio").alias("ratio"))
 
 
 def greedy_dedupe(sources: DataFrame, pairs: DataFrame, id_col: str, rank: str) -> DataFrame:
-    """(id_col, kept, duplicate_of) of the rule that takes sources by rank and drops one that is near an already kept
-    one. Only sources of one connected group of pairs affect each other, so the rule runs in each group by itself."""
-    groups = connected_components(pairs, "a", "b").select(F.col("node").alias("__id"), "component")
-    near = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).groupBy("a").agg(F.collect_set("b").alias("near"))
-    rows = (
-        sources.select(F.col(id_col).alias("__id"), rank)
-        .join(groups, "__id")
-        .join(near.withColumnRenamed("a", "__id"), "__id")
+    """(id_col, kept, duplicate_of) of the rule that takes sources by rank and id and drops one that is near an already kept
+    one. It is settled in rounds over the pairs; no task walks a group of near sources."""
+    place = lambda name: sources.select(F.col(id_col).alias(name), F.struct(F.col(rank).alias("rank"), F.col(id_col).alias("id")).alias(f"place_{name}"))
+    placed = pairs.select("a", "b").join(place("a"), "a").join(place("b"), "b")
+    first = F.col("place_a") < F.col("place_b")
+    ordered = placed.select(
+        F.when(first, F.col("place_a")).otherwise(F.col("place_b")).alias("earlier"),
+        F.when(first, F.col("place_b")).otherwise(F.col("place_a")).alias("later"),
     )
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        out = []
-        for row in group.sort_values(rank).itertuples(index=False):
-            near_ids = set(row.near)
-            first = next((k for k in kept if k in near_ids), None)
-            if first is None:
-                kept.append(row[0])
-            out.append((row[0], first))
-        return pd.DataFrame(out, columns=["id", "owner"]).astype({"owner": "Int64"})
-
-    renamed = rows.toDF("id", rank, "component", "near")
-    judged = renamed.groupBy("component").applyInPandas(walk, "id long, owner long")
-    joined = sources.select(id_col).join(judged.withColumnRenamed("id", id_col), id_col, "left")
-    return joined.select(id_col, F.col("owner").isNull().alias("kept"), F.col("owner").alias("duplicate_of"))
+    found = owners(materialise(ordered, "source-pairs")).select(F.col("place.id").alias(id_col), F.col("owner.id").alias("duplicate_of"))
+    joined = sources.select(id_col).join(found, id_col, "left")
+    return joined.select(id_col, F.col("duplicate_of").isNull().alias("kept"), "duplicate_of")
 
 
 def search_issues(

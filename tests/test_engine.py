@@ -290,3 +290,22 @@ def test_decomposed_text_is_found(spark):
     assert find("e") == {}
     pubs = docs.selectExpr("id AS publication_id", "'t' AS publication_type", "text AS title", "authors")
     assert {r["publication_id"] for r in Publications(pubs).rows.filter(Filters(authors=["김연구"]).column()).collect()} == {"a", "b"}
+
+
+def test_places_of_a_sorted_column(spark):
+    """Against a sort, with values that very many rows share, nulls, and no rows at all."""
+    from corvane.operators import corpus as C
+
+    rng = random.Random(6)
+    values = [7] * 400 + [rng.randint(-50, 50) for _ in range(333)] + [None] * 20
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(5)
+    known = sorted(v for v in values if v is not None)
+    fractions = [0.0, 0.1, 0.5, 0.99, 1.0]
+    got = {r["fraction"]: r["value"] for r in rows(C.floor_percentiles(df, "v", fractions))}
+    assert got == {f: known[int(f * (len(known) - 1))] for f in fractions}
+    assert rows(C.floor_percentiles(df.filter("v > 99"), "v", fractions)) == []
+    for n in (733, 732, 1):
+        part = spark.createDataFrame([(float(v),) for v in known[:n]], "v double")
+        found = rows(A.analyse(part, A.Request("describe_numeric", "v")))[0]
+        assert found["median"] == (known[:n][(n - 1) // 2] + known[:n][n // 2]) / 2 and found["count"] == n
+    assert rows(A.analyse(part.filter("v > 99"), A.Request("describe_numeric", "v")))[0]["median"] is None
