@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions import urls as U
+from corvane.operators.attributes import publisher_name
 from corvane.operators.candidates import NEAR, near_titles, owners
 from corvane.operators.ranking import best_per_group
 from corvane.storage import materialise
@@ -50,10 +51,11 @@ def classify_domain(host: Column, rules: Sequence[tuple[str, str, str]], default
 
 
 def normalise_sources(sources: DataFrame) -> DataFrame:
-    """Titles and publishers with single spaces, canonical URLs, lower-case languages, distinct labels."""
+    """Titles with single spaces, publishers under the name that is kept, canonical URLs, lower-case languages, distinct
+    labels."""
     labels = lambda c: F.array_distinct(F.filter(F.transform(c, X.collapse_spaces), lambda v: v != ""))
     changes = {"title": X.collapse_spaces(F.col("title")), "url": U.canonical(F.col("url"))}
-    for name, form in (("publisher", X.collapse_spaces), ("language", F.lower), ("policy_domains", labels), ("countries", labels)):
+    for name, form in (("publisher", publisher_name), ("language", F.lower), ("policy_domains", labels), ("countries", labels)):
         if name in sources.columns:
             changes[name] = form(F.col(name))
     return sources.withColumns(changes)

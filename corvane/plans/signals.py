@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import dates as D
 from corvane.functions import urls as U
+from corvane.operators import attributes as A
 from corvane.operators import signals as G
 from corvane.operators.ranking import rank_all
 from corvane.plans.catalogue import register
@@ -125,3 +126,52 @@ def lenient_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("soon")
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", D.lenient_date(text).cast("string").alias("day"))
+
+
+_PART = "printf('%016X', strlen({0})) || hex({0})"
+
+
+@register(
+    "source_checksums",
+    f"""WITH p AS (SELECT conv_id, turn, coalesce(text, '') AS text, sha256('s' || CASE WHEN conv_id % 3 = 1 THEN 0 ELSE turn END) AS s FROM conversations),
+d AS (SELECT conv_id, count(DISTINCT s) AS n, min(s) AS s, string_agg({_PART.format("turn::VARCHAR")} || {_PART.format("text")} || {_PART.format("s")}, '' ORDER BY turn) AS body FROM p GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS publication_id, CASE WHEN conv_id % 3 = 0 THEN sha256(conv_id::VARCHAR) WHEN n = 1 THEN s
+  ELSE sha256(unhex({_PART.format("conv_id::VARCHAR")} || {_PART.format("'chat'")} || {_PART.format("(conv_id || '.json')")} || body)) END AS source_checksum FROM d""",
+)
+def source_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as publications: every third has a checksum of its own, every third one for all pages."""
+    turns = table(spark, sf_dir, "conversations")
+    k = F.col("conv_id")
+    own = F.sha2(F.concat(F.lit("s"), F.when(k % 3 == 1, 0).otherwise(F.col("turn")).cast("string")), 256)
+    pages = turns.select(k.cast("string").alias("publication_id"), F.col("turn").alias("page"), "text", own.alias("source_checksum"))
+    publications = turns.select("conv_id").distinct().select(
+        k.cast("string").alias("publication_id"),
+        F.lit("chat").alias("publication_type"),
+        F.when(k % 3 == 0, F.sha2(k.cast("string"), 256)).alias("checksum"),
+        F.concat(F.lit("tree/"), k.cast("string"), F.lit(".json")).alias("path"),
+    )
+    return A.source_checksums(publications, pages)
+
+
+@register(
+    "candidate_attributes",
+    """WITH s AS (SELECT user_id, event_id, event_type AS label FROM events WHERE user_id % 4 <> 0),
+f AS (SELECT user_id, label, min(event_id) AS first FROM s GROUP BY ALL), d AS (SELECT user_id, string_agg(label, ',' ORDER BY first) AS domains FROM f GROUP BY user_id),
+c AS (SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN ' KIDA Brief ' WHEN 1 THEN 'research_report' ELSE 'other' END AS output FROM events)
+SELECT c.user_id AS candidate_id, coalesce(domains, '국방인공지능') AS policy_domains, '미국,일본' AS countries,
+  CASE c.user_id % 3 WHEN 0 THEN 'kida_brief' WHEN 1 THEN 'research_report' END AS output_type, CASE c.user_id % 3 WHEN 0 THEN 'short_term' WHEN 1 THEN 'structural' ELSE 'unknown' END AS research_horizon
+FROM c LEFT JOIN d ON c.user_id = d.user_id""",
+)
+def candidate_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as candidates and their events as signals; every fourth candidate has none and is told by its text."""
+    events = table(spark, sf_dir, "events")
+    output = F.when(F.col("user_id") % 3 == 0, " KIDA Brief ").when(F.col("user_id") % 3 == 1, "research_report").otherwise("other")
+    candidates = events.select(
+        F.col("user_id").alias("candidate_id"), F.lit("AI of 미국").alias("title"), F.lit("said in 일본").alias("question"), output.alias("output")
+    ).distinct()
+    signals = events.filter("user_id % 4 <> 0").select(
+        F.col("user_id").alias("candidate_id"), F.col("event_id").alias("pos"), F.array("event_type").alias("policy_domains"), F.array().cast("array<string>").alias("countries")
+    )
+    made = A.candidate_attributes(candidates, signals)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return made.select("candidate_id", joined("policy_domains"), joined("countries"), "output_type", "research_horizon")
