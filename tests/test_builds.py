@@ -227,3 +227,24 @@ def test_changed_index_files(spark, tmp_path):
     versions.write_text(spark, f"{version.path}/manifest.json", json.dumps(manifest))
     with pytest.raises(V.IndexMismatch, match="manifest"):
         V.open_index(spark, root, PROVIDER, "1")
+
+
+def test_commands(spark, tmp_path, capsys):
+    from corvane import cli
+
+    tree = tmp_path / "data" / "brief"
+    tree.mkdir(parents=True)
+    for i in range(3):
+        pages = [{"page": 1, "text": f"가나다 page of {i} 라마바사아 " * 3}]
+        body = {"metadata": {"filename": f"202{i}_Kim_Doc.pdf"}, "full_text": pages[0]["text"], "page_texts": pages}
+        (tree / f"202{i}_Kim_Doc.json").write_text(json.dumps(body, ensure_ascii=False), encoding="utf-8")
+    out, index = f"{tmp_path}/out", f"{tmp_path}/index"
+    cli.main(["build", "--input", f"{tmp_path}/data", "--output", out, "--min-characters", "20"])
+    said = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert (said["documents"], said["ready"], said["chunks"]) == (3, 3, 3)
+    cli.main(["index", "--corpus", out, "--output", index])
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["indexed_chunks"] == 3
+    cli.main(["nearest", "--index", index, "--query", "page", "--limit", "2"])
+    assert capsys.readouterr().out.count("pub:kida_brief") >= 2
+    with pytest.raises(ValueError, match="only read"):
+        cli.main(["build", "--input", f"{tmp_path}/data", "--output", f"{tmp_path}/data/out"])
