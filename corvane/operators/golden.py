@@ -7,26 +7,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as X
+from corvane.storage import materialise
+
+
+#: Members of a class that meet those of another in one row, about.
+MEMBERS = 1 << 10
 
 
 def jaccard_pairs(items: DataFrame, id_col: str, tokens: str, least: float) -> DataFrame:
-    """Pairs (a, b, jaccard) with a < b. Sets of Jaccard t share one of the rarest n - ceil(t n) + 1 tokens of each, so
-    only these are joined on; nothing is lost."""
-    sets = items.select(F.col(id_col).alias("id"), F.array_distinct(tokens).alias("s")).filter(F.size("s") > 0)
-    each = sets.select("id", F.explode("s").alias("token"))
+    """Pairs (a, b, jaccard) with a < b. Items of equal sets are one class, and only classes are compared (see
+    :func:`near_sets`); pairs of members are made last, from blocks of ``MEMBERS`` of both classes, so that the rows of a large
+    class spread over the tasks."""
+    sets = items.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter((F.size("s") > 0) & F.col("id").isNotNull())
+    sets = materialise(sets, "jaccard-sets")
+    classes = materialise(sets.groupBy("s").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "jaccard-classes")
+    near = near_sets(classes, least)
+    own = classes.filter("n > 1").select(F.col("rep").alias("ra"), F.col("rep").alias("rb"), F.lit(1.0).alias("jaccard"))
+    # One class of MEMBERS or more in each MEMBERS items at most.
+    large = F.broadcast(classes.filter(F.col("n") > MEMBERS).select("rep", "n"))
+    named = sets.join(classes.select("s", "rep"), "s").join(large, "rep", "left")
+    block = F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / MEMBERS)), F.lit(0))
+    members = materialise(named.groupBy("rep", block.alias("block")).agg(F.collect_list("id").alias("ids")), "jaccard-members")
+    side = lambda s: members.select(F.col("rep").alias(f"r{s}"), F.col("block").alias(f"block{s}"), F.col("ids").alias(f"ids{s}"))
+    met = near.union(own).join(side("a"), "ra").join(side("b"), "rb").filter((F.col("ra") != F.col("rb")) | (F.col("blocka") <= F.col("blockb")))
+    dealt = met.repartition("ra", "blocka", "rb", "blockb")
+    each = dealt.select("jaccard", (F.col("ra") == F.col("rb")) & (F.col("blocka") == F.col("blockb")), F.explode("idsa").alias("x"), "idsb")
+    each = each.toDF("jaccard", "same", "x", "idsb").select("jaccard", "same", "x", F.explode("idsb").alias("y"))
+    return each.filter("x < y OR (NOT same AND x > y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+
+
+def near_sets(classes: DataFrame, least: float) -> DataFrame:
+    """(ra, rb, jaccard) of distinct sets (rep, s), ra < rb. Sets of Jaccard t share one of the rarest n - ceil(t n) + 1 tokens of each,
+    so only these are joined on. Of sizes x and y they share t (x + y) / (1 + t) tokens or more: where a token stands in each
+    tells how many there can be from it on. Nothing is lost."""
+    each = classes.select("rep", F.size("s").alias("size"), F.explode("s").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = each.join(counts, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("r"))
-    width = F.size("r") - F.ceil(F.size("r") * F.lit(least) - 1e-9).cast("int") + 1
-    heads = ranked.select("id", F.explode(F.transform(F.slice("r", F.lit(1), width), lambda x: x["token"])).alias("token"))
-    pairs = (
-        heads.alias("a").join(heads.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")))
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
-    )
-    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    scored = pairs.join(left, "a").join(right, "b").withColumn("jaccard", X.jaccard(F.col("sa"), F.col("sb")))
-    return scored.filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    # Tokens by number, rare ones first: (count, number) orders them.
+    counts = materialise(counts.select("token", F.struct("n", F.monotonically_increasing_id().alias("k")).alias("mark")), "jaccard-tokens")
+    ranked = each.join(counts, "token").groupBy("rep", "size").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
+    ranked = materialise(ranked.select("rep", "size", F.transform("marks", lambda m: m["k"]).alias("r")), "jaccard-ranked")
+    width = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9).cast("int") + 1
+    heads = ranked.select("rep", "size", F.posexplode(F.slice("r", F.lit(1), width)).alias("at", "token"))
+    side = lambda s: heads.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "size", "at")])
+    # Up to the first common token all are different.
+    rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
+    able = rest >= F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(least / (1 + least)) - 1e-6)
+    found = side("a").join(side("b"), "token").filter((F.col("rep_a") < F.col("rep_b")) & able)
+    pairs = found.select(F.col("rep_a").alias("ra"), F.col("rep_b").alias("rb")).distinct()
+    sets = lambda s: ranked.select(F.col("rep").alias(f"r{s}"), F.col("r").alias(f"s{s}"))
+    scored = pairs.join(sets("a"), "ra").join(sets("b"), "rb").withColumn("jaccard", X.jaccard(F.col("sa"), F.col("sb")))
+    return scored.filter(F.col("jaccard") >= least).select("ra", "rb", "jaccard")
 
 
 def page_proposals(questions: DataFrame, pages: DataFrame, top: int) -> DataFrame:
