@@ -145,30 +145,73 @@ def penalised(raw: Column, adjustments: Column) -> Column:
 _DIVERSE = "run string, candidate_id string, rank int, penalized_score double, adjusted_score double, deducted double"
 
 
+class _Alike:
+    """Candidates of a run whose attributes are the same, and so their deduction: the best of them for any deduction."""
+
+    def __init__(self, rows: list) -> None:
+        self.ids = sorted(r.candidate_id for r in rows)[::-1]
+        # No score counts as the least.
+        score = lambda r: r.penalized_score if r.penalized_score == r.penalized_score else float("-inf")
+        groups: dict[float, list] = {}
+        for r in sorted(rows, key=lambda r: r.candidate_id, reverse=True):
+            groups.setdefault(score(r), []).append(r.candidate_id)
+        self.groups = sorted(groups.items())
+
+    def best(self, cut: float, left: dict) -> tuple | None:
+        """(-score, id) of the best one that is ``left``, ties by id; none if all are gone."""
+        groups = self.groups
+        while groups and not self._open(groups[-1][1], left):
+            groups.pop()
+        if not groups:
+            return None
+        found = round(max(0.0, groups[-1][0] - cut), 4)
+        if found == 0:  # of all others, too
+            return (-found, self._open(self.ids, left)[-1])
+        ids = []
+        for score, held in reversed(groups):
+            if round(max(0.0, score - cut), 4) != found:
+                break
+            ids += self._open(held, left)[-1:]
+        return (-found, min(ids))
+
+    @staticmethod
+    def _open(ids: list, left: dict) -> list:
+        while ids and ids[-1] not in left:
+            ids.pop()
+        return ids
+
+
 def diversify(ranked: DataFrame, repeats: Mapping[str, float] = REPEATS, limit: int | None = None) -> DataFrame:
     """Greedy selection: each time the candidate of the best score after deductions for attributes already chosen, ties
-    by id. Every choice depends on those before it; a run's candidates, which its generator bounds, are one group.
+    by id. Every choice depends on those before it; a run's candidates, which its generator bounds, are one group. A choice
+    looks at the best of each combination of attributes, not at all candidates.
 
     ``ranked`` has (run, candidate_id, penalized_score, domain, country, output, horizon); null attributes do not count.
     """
 
     def select(rows: pd.DataFrame) -> pd.DataFrame:
         left = {r.candidate_id: r for r in rows.itertuples(index=False)}
+        alike: dict[tuple, list] = {}
+        for r in left.values():
+            alike.setdefault(tuple(v if isinstance(v := getattr(r, k), str) else None for k in repeats), []).append(r)
+        kinds = {values: _Alike(held) for values, held in alike.items()}
         seen: dict[tuple[str, str], int] = {}
         out = []
         while left and (limit is None or len(out) < limit):
             best = None
-            for r in left.values():
-                cut = sum(seen.get((k, getattr(r, k)), 0) * amount for k, amount in repeats.items())
-                key = (-round(max(0.0, r.penalized_score - cut), 4), r.candidate_id)
-                if best is None or key < best[0]:
-                    best = (key, r, cut)
-            key, r, cut = best
+            for values, kind in list(kinds.items()):
+                cut = sum(seen.get((k, v), 0) * amount for (k, amount), v in zip(repeats.items(), values, strict=True))
+                key = kind.best(cut, left)
+                if key is None:
+                    del kinds[values]
+                elif best is None or key < best[0]:
+                    best = (key, values, cut)
+            key, values, cut = best
+            r = left.pop(key[1])
             out.append((r.run, r.candidate_id, len(out) + 1, r.penalized_score, -key[0], float(cut)))
-            for k in repeats:
-                if isinstance(value := getattr(r, k), str):
+            for k, value in zip(repeats, values, strict=True):
+                if value is not None:
                     seen[k, value] = seen.get((k, value), 0) + 1
-            del left[r.candidate_id]
         return pd.DataFrame(out, columns=["run", "candidate_id", "rank", "penalized_score", "adjusted_score", "deducted"])
 
     return ranked.groupBy("run").applyInPandas(select, _DIVERSE)
