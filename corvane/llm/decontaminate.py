@@ -2,16 +2,16 @@
 
 Benchmark items, a stated query set, are cut into parts of at most 64 words.
 
-1. Document frequencies are counted over all documents, by ``FEATURES`` hashed words: one pass, whatever the items.
-2. A distributed randomised SVD of TF-IDF passages gives a latent space of ``RANK`` dimensions. Its rows are passages of
-   the corpus, one of each of about ``SAMPLE`` documents that a hash of the text picks among all, and the items'
-   parts, which weigh as much in sum. The space is fitted on this bounded sample; every passage is searched.
-3. Every document's overlapping passages, with half a passage around, are candidates of a part if their latent cosine,
-   times their length so that what stands around a part cannot dilute it, reaches the part's limit. The limit is
-   measured, not guessed: what is left of the part's own product without the quarter of its words that brings most of
-   it, less ``MARGIN`` of it, less what the least of ``HOSTS`` places of the corpus takes away. Pairs that cannot reach
-   the word check are passed over before the product without loss: a text with ``LCS_ALONE`` of a part's words
-   holds ``KEYS`` of its rarest, so an index of these words gives the pairs.
+1. One pass over all documents counts document frequencies by ``FEATURES`` hashed words, and adds up a sketch of all passages.
+2. The sketch is that of a distributed randomised SVD: each passage of each document, 64 words at a time, goes with random signs
+   into ``SIGNS`` of ``SKETCH`` rows. With the items' parts, which weigh as much in sum, and the words' weights it gives a
+   latent space of ``RANK`` dimensions. Nothing is sampled, and sums of whole numbers do not depend on the partitions.
+3. Every document's overlapping passages, with half a passage around, are candidates of a part if what their words bring in
+   the latent direction of the part reaches the part's floor. Only what a word adds counts, so what stands around a part cannot
+   take anything away; the floor is what is left of the part's own words without the quarter that brings most. So the
+   gate loses nothing: a text with ``LCS_ALONE`` of a part's words reaches the floor, whatever the space.
+   Pairs that cannot reach the word check are passed over before, without loss either: such a text
+   holds ``KEYS`` of the part's rarest words, so an index of these words gives the pairs.
 4. Where an item's answer (its last words) stands in one piece, the passages around are candidates too.
 5. Candidates are checked on their words: the longest common subsequence of item and passage must hold
    most of the item; where it holds less, as in a paraphrase, the item's answer must
@@ -23,7 +23,7 @@ unless its words lie more than 97 words apart in the document.
 Documents are read in place; nothing but the result moves. What goes to the tasks is bounded: the space (8 MB), and the
 items in blocks of up to ``BLOCK`` parts, each one pass over the documents.
 
-Weights: count * ln((N + 1) / (df + 1)). The cosine that is given is the latent one of the best passage to the item or its
+Weights: count * ln((N + 1) / (df + 1)); passages are not scaled to one length in the sketch. The cosine that is given is the latent one of the best passage to the item or its
 part.
 
 Edge cases: null, empty and blank texts match nothing, on either side; items of fewer than ``MIN_ITEM_WORDS`` words
@@ -33,6 +33,7 @@ tables match nothing. Extra columns pass through.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,6 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corvane.llm.substrings import CHUNK_BYTES, rolling, word_hashes
-from corvane.storage import materialise
 
 #: Parts of items that are searched in one pass; an item of more is a block of its own.
 BLOCK = 1 << 14
@@ -59,12 +59,12 @@ LCS_ALONE, LCS_WITH_ANSWER = 0.75, 0.5
 ANSWER_WORDS = 5
 #: Hashed words, dimensions of the latent space, and directions beyond them that the range finder draws.
 FEATURES, RANK, OVERSAMPLING = 1 << 15, 64, 8
-#: Passages of the corpus that the space is fitted on, and of those, how many the limits are measured in.
-SAMPLE, HOST_PASSAGES = 1 << 14, 512
-#: Tasks that multiply the sample's rows.
-SAMPLE_TASKS = 8
-#: Places of the corpus whose product with a part is measured, and the share that is taken off a limit.
-HOSTS, MARGIN = 64, 0.1
+#: Rows of the sketch of all passages, and how many of them a passage goes into.
+SKETCH, SIGNS = 128, 4
+#: Features of a block of the sketch.
+SKETCH_BLOCK = 1 << 11
+#: Passages that :func:`sample_passages` picks, about. The search does not use it.
+SAMPLE = 1 << 14
 #: Passages that are looked up in the index of parts at a time.
 _STEP = 256
 
@@ -136,30 +136,82 @@ def features(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.int64) % FEATURES
 
 
-def feature_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
-    """The number of documents, and of those that hold each feature, over all documents."""
+def _add_signs(table: np.ndarray, h: np.ndarray, owner: np.ndarray) -> None:
+    """Add the words of all passages, 64 words of a text at a time, to a table (features x SKETCH, or more columns). The rows
+    and signs of a passage follow from its words."""
+    if not len(h):
+        return
+    place = np.arange(len(h))
+    place -= np.flatnonzero(np.diff(owner, prepend=-1))[np.cumsum(np.diff(owner, prepend=-1) != 0) - 1]
+    begins = place % PASSAGES[-1] == 0
+    passage = np.cumsum(begins) - 1
+    mark = np.add.reduceat(_mixed(h), np.flatnonzero(begins))
+    cell, cells = features(h) * table.shape[1], table.reshape(-1)
+    for i in range(SIGNS):
+        drawn = _mixed(mark + np.uint64(i))
+        row, sign = (drawn % np.uint64(SKETCH)).astype(np.int64), np.where(drawn >> np.uint64(63), 1, -1).astype(table.dtype)
+        np.add.at(cells, cell + row[passage], sign[passage])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def corpus_sketch(docs: DataFrame, text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of documents, of those that hold each feature, and the sketch (features x SKETCH) of all passages, without
+    weights. Each task adds up its own rows; the sums of all tasks are added up by blocks of features."""
+
+    def packed(block: int, values: np.ndarray) -> pa.RecordBatch:
+        width = next(w for w in (2, 4, 8) if w == 8 or abs(values).max() < 1 << (8 * w - 1))
+        value = zlib.compress(values.astype(f"<i{width}").tobytes(), 1)
+        columns = [pa.array([block], pa.int32()), pa.array([width], pa.int32()), pa.array([value], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "width", "value"])
+
+    def unpacked(width: int, value: bytes) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(value), f"<i{width}").reshape(-1, SKETCH + 1).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(FEATURES + 1, np.int64)
+        # The last column counts documents, the last row all of them.
+        table = np.zeros((FEATURES + 1, SKETCH + 1), np.int32)
         for batch in batches:
-            total[FEATURES] += batch.num_rows
+            table[FEATURES, SKETCH] += batch.num_rows
             for _, texts in _chunks(batch.column(0)):
                 h, owner, *_ = _hashes(texts)
                 pairs = np.unique(owner * FEATURES + features(h))
-                total[:FEATURES] += np.bincount(pairs % FEATURES, minlength=FEATURES)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], names=["word", "n"])
+                table[:FEATURES, SKETCH] += np.bincount(pairs % FEATURES, minlength=FEATURES)
+                _add_signs(table, h, owner)
+        if table[FEATURES, SKETCH]:
+            for i, at in enumerate(range(0, FEATURES + 1, SKETCH_BLOCK)):
+                yield packed(i, table[at : at + SKETCH_BLOCK])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, width, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total[i] = total.get(i, 0) + unpacked(width, value)
+        for i, values in total.items():
+            yield packed(i, values)
 
-    rows = docs.select(text).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = np.zeros(FEATURES + 1, np.int64)
-    for row in rows.collect():
-        found[row["word"]] = row["n"]
-    return int(found[FEATURES]), found[:FEATURES]
+    schema = "block int, width int, value binary"
+    sums = docs.select(text).mapInArrow(count, schema).repartition(FEATURES // SKETCH_BLOCK + 1, "block").mapInArrow(add, schema)
+    found = np.zeros((FEATURES + 1, SKETCH + 1), np.int64)
+    for block, width, value in sums.toLocalIterator():
+        values = unpacked(width, value)
+        found[block * SKETCH_BLOCK : block * SKETCH_BLOCK + len(values)] = values
+    return int(found[FEATURES, SKETCH]), found[:FEATURES, SKETCH], found[:FEATURES, :SKETCH]
+
+
+def feature_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those that hold each feature, over all documents."""
+    return corpus_sketch(docs, text)[:2]
 
 
 def sample_passages(docs: DataFrame, n_docs: int, text: str) -> DataFrame:
     """Rows (mark, text): one passage of each of about SAMPLE different texts. A hash of the text picks it and the
-    place of its passage, so all documents have the same chance and reruns agree; copies count once."""
+    place of its passage, so all documents have the same chance and reruns agree; copies count once. For a look at a
+    corpus: the search neither fits nor measures anything on it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,17 +347,20 @@ class Space:
         place = np.arange(size.sum()) - np.repeat(first - lo, size)
         return np.add.reduceat(self.words[feature[place]], first, axis=0)
 
-    def limit(self, feature: np.ndarray, latent: np.ndarray, size: int, hosts: np.ndarray) -> float:
-        """The least product with ``latent``, a part's direction, of a passage that holds LCS_ALONE of the part's words.
-        ``hosts`` are the features of words of the corpus in their order."""
+    def floor(self, feature: np.ndarray, latent: np.ndarray) -> float:
+        """The least that words of a passage with LCS_ALONE of a part's words add in ``latent``, the part's direction."""
         each = np.sort(self.words[feature].astype(np.float64) @ latent)
         kept = each[: len(each) - int((1 - LCS_ALONE) * len(each))]
-        around, least = min(2 * size - len(kept), len(hosts)), 0.0
-        if around > 0:
-            start = np.random.default_rng(len(feature)).integers(0, len(hosts) - around + 1, HOSTS)
-            products = self.words[hosts[start[:, None] + np.arange(around)]].sum(axis=1) @ latent
-            least = min(0.0, float(products.min()))
-        return float(kept.sum()) * (1 - MARGIN) + least - 1e-6
+        return float(np.maximum(kept, 0).sum()) * (1 - 1e-4) - 1e-5
+
+    def reach(self, feature: np.ndarray, lo: np.ndarray, hi: np.ndarray, latent: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """What the words from ``lo`` to ``hi``, at least one each, add in the directions of ``part``; what others take
+        away does not count."""
+        size = hi - lo
+        first = np.cumsum(size) - size
+        word = feature[np.arange(size.sum()) - np.repeat(first - lo, size)]
+        products = np.einsum("ij,ij->i", self.words[word], latent[np.repeat(part, size)])
+        return np.add.reduceat(np.maximum(products, 0).astype(np.float64), first)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -353,7 +408,7 @@ class Retriever:
     #: Item of each part, and the length of the passages that it is searched with.
     part_item: np.ndarray
     part_size: np.ndarray
-    limits: np.ndarray
+    floors: np.ndarray
     latent: np.ndarray
     #: The parts of which each word of the vocabulary is among the heaviest, and where each word's begin.
     key_parts: np.ndarray
@@ -401,11 +456,12 @@ class Retriever:
                 rows, part = self._pairs(near[k : k + _STEP], *wide, at, number, size)
                 if not len(rows):
                     continue
-                some, back = np.unique(rows, return_inverse=True)
-                vectors = self.space.project(feature, wide[0][some], wide[1][some])
-                product = np.einsum("ij,ij->i", vectors[back], self.latent[part])
-                for j in np.flatnonzero(product >= self.limits[part]).tolist():
-                    candidates.add((int(rows[j]), int(self.part_item[part[j]]), int(part[j])))
+                # The words of _STEP pairs at a time: a passage may meet many parts.
+                for i in range(0, len(rows), _STEP):
+                    r, p = rows[i : i + _STEP], part[i : i + _STEP]
+                    added = self.space.reach(feature, wide[0][r], wide[1][r], self.latent, p)
+                    for j in np.flatnonzero(added >= self.floors[p]).tolist():
+                        candidates.add((int(r[j]), int(self.part_item[p[j]]), int(p[j])))
             for first, last, item in answers.get(size, ()):
                 d = owner[first]
                 margin = self._margin(size, item)
@@ -475,9 +531,20 @@ class Retriever:
         return F.arrow_udf(run, result).asNondeterministic()
 
 
-def build_retriever(sample: DataFrame, hosts: list[bytes], idf: np.ndarray, items: list[tuple]) -> Retriever | None:
-    """The retriever of one block of (id, text); None if no item has a word. ``sample`` (mark, text) and ``hosts`` are
-    passages of the corpus."""
+def latent_space(sketch: np.ndarray, parts: list[bytes], idf: np.ndarray) -> Space:
+    """The space of all passages and the items' parts, which weigh as much in sum. ``sketch`` is that of the corpus."""
+    own = np.zeros((FEATURES, SKETCH), np.int32)
+    h, owner, *_ = _hashes(parts)
+    _add_signs(own, h, owner)
+    both = sketch * idf[:, None]
+    own = own * idf[:, None]
+    both += own * (np.linalg.norm(both) / max(np.linalg.norm(own), 1e-30) or 1.0)
+    basis = (both @ _whitening(both.T @ both))[:, :RANK].astype(np.float32)
+    return Space(basis * idf[:, None].astype(np.float32))
+
+
+def build_retriever(sketch: np.ndarray, idf: np.ndarray, items: list[tuple]) -> Retriever | None:
+    """The retriever of one block of (id, text); None if no item has a word. ``sketch`` is that of the corpus."""
     kept = [(n, fold(t).split()) for n, t in items]
     kept = [(n, w) for n, w in kept if w]
     if not kept:
@@ -486,26 +553,14 @@ def build_retriever(sample: DataFrame, hosts: list[bytes], idf: np.ndarray, item
     parts = [(i, part) for i in long for part in parts_of(kept[i][1])]
     each = [b" ".join(w) for _, w in parts]
     vocabulary = Vocabulary(np.unique(_hashes([b" ".join(w) for _, w in kept])[0]))
-    basis = np.zeros((FEATURES, 0), np.float32)
-    if parts:
-        spark = sample.sparkSession
-        own = [(-1 - i, e.decode("utf-8", "replace")) for i, e in enumerate(each)]
-        share = (SAMPLE / len(parts)) ** 0.5
-        rows = sample.select("mark", F.lit(1.0).alias("weight"), "text").union(
-            spark.createDataFrame(own, "mark long, text string").select("mark", F.lit(share).alias("weight"), "text")
-        )
-        # The sample is bounded, and every task makes a product of FEATURES rows: so few tasks, whatever the shuffle's number.
-        rows = rows.repartition("mark").coalesce(SAMPLE_TASKS).sortWithinPartitions("mark")
-        basis = latent_basis(rows, idf, RANK)
-    space = Space(basis * idf[:, None].astype(np.float32))
-    around = features(_hashes([b" ".join(hosts)])[0])
-    latent, limits, keys = np.zeros((len(parts), basis.shape[1]), np.float32), np.zeros(len(parts)), []
+    space = latent_space(sketch, each, idf) if parts else Space(np.zeros((FEATURES, 0), np.float32))
+    latent, floors, keys = np.zeros((len(parts), space.words.shape[1]), np.float32), np.zeros(len(parts)), []
     sizes = np.array([Retriever._size(kept[i][1]) for i, _ in parts], np.int64)
     for i, one in enumerate(each):
         h = _hashes([one])[0]
         feature = features(h)
         latent[i] = unit(space.project(feature, np.array([0]), np.array([len(h)])))[0]
-        limits[i] = space.limit(feature, latent[i], int(sizes[i]), around)
+        floors[i] = space.floor(feature, latent[i])
         number = vocabulary.places(h)[1]
         heaviest = number[np.argsort(-idf[feature], kind="stable")]
         keys += [(int(w), i) for w in np.unique(heaviest[: int((1 - LCS_ALONE) * len(number)) + KEYS])]
@@ -515,7 +570,7 @@ def build_retriever(sample: DataFrame, hosts: list[bytes], idf: np.ndarray, item
         [w for _, w in kept],
         np.array([i for i, _ in parts], np.int64),
         sizes,
-        limits,
+        floors,
         latent,
         pairs[:, 1],
         np.searchsorted(pairs[:, 0], np.arange(len(vocabulary.hashes) + 1)),
@@ -548,12 +603,10 @@ def find_contamination(
     and fitting run at the call; the search is lazy."""
     kind = benchmark.schema[item].dataType
     matches = F.array().cast(match_type(kind))
-    n_docs, df = feature_frequencies(docs, text)
+    n_docs, df, sketch = corpus_sketch(docs, text)
     idf = np.log((n_docs + 1) / (df + 1)) + 1e-3
-    sample = materialise(sample_passages(docs, n_docs, text), "latent-sample")
-    hosts = [fold(r["text"]) for r in sample.orderBy("mark").limit(HOST_PASSAGES).collect()]
     for block in item_blocks(benchmark, item, item_text):
-        retriever = build_retriever(sample, hosts, idf, block)
+        retriever = build_retriever(sketch, idf, block)
         if retriever:
             matches = F.concat(matches, retriever.udf(kind)(F.col(text)))
     return docs.withColumn("matches", matches)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from corvane.llm import decontaminate as D
@@ -63,3 +64,40 @@ def test_long_and_short_items(spark):
     docs = [f"{text(300)} {t} {text(300)}" for _, t in items[:6]] + [f"{text(50)} {items[6][1]}"]
     docs += ["beta alpha", "alphabeta gammas", text(500), "", items[0][1][:2000], "one two, THREE. four"]
     assert found(spark, docs, items) == {(i, i) for i in range(7)} | {(12, 5)}
+
+
+def test_nothing_is_sampled(spark, monkeypatch):
+    """Every word of every document is in the sketch of the space, however the rows are dealt."""
+    rng = random.Random(10)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(200))) for _ in range(300)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    n, df, sketch = D.corpus_sketch(docs.repartition(2), "text")
+    again = D.corpus_sketch(docs.repartition(7), "text")
+    assert n == again[0] == 302 and (df == again[1]).all() and (sketch == again[2]).all()
+    plain = np.zeros((D.FEATURES, D.SKETCH), np.int64)
+    for text in texts:
+        words = D.fold(text).split()
+        for k in range(0, len(words), 64):
+            h, owner, *_ = D._hashes([b" ".join(words[k : k + 64])])
+            D._add_signs(plain, h, owner)
+    assert (sketch == plain).all() and len(set(" ".join(filter(None, texts)).split())) <= (abs(sketch).sum(1) > 0).sum() + 20
+
+    def sampled(*_):
+        raise AssertionError("a sample was drawn")
+
+    monkeypatch.setattr(D, "sample_passages", sampled)
+    assert found(spark, ["one two three four five six seven", "other"], [(1, "one two three four five six seven")]) == {(0, 1)}
+
+
+def test_what_stands_around_takes_nothing_away():
+    """Three quarters of a part reach its floor among the words that point most against it, in any space."""
+    rng = np.random.default_rng(11)
+    space = D.Space(rng.standard_normal((D.FEATURES, 8)).astype(np.float32))
+    for n in (5, 16, 33, 64):
+        part = rng.integers(0, D.FEATURES, n)
+        latent = D.unit(space.project(part, np.array([0]), np.array([n])))
+        around = np.argsort(space.words @ latent[0])[:200]
+        held = part[np.sort(rng.permutation(n)[: n - n // 4])]
+        text = np.concatenate([around[:100], held, around[100:]])
+        reach = space.reach(text, np.array([0]), np.array([len(text)]), latent, np.array([0]))
+        assert reach[0] >= space.floor(part, latent[0])
