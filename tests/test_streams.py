@@ -69,6 +69,51 @@ def test_reminders(spark, tmp_path):
     assert got == [("reminder", "a")]
 
 
+class Calls:
+    """A state that counts what is asked of it."""
+
+    def __init__(self):
+        self.value, self.held, self.calls, self.timers = None, {}, 0, []
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def updateValue(self, key, value):
+        self.held[key], self.calls = value, self.calls + 1
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_state_is_written_by_candidate_not_by_event():
+    """2,001 calls for the events of a run before."""
+    import pandas as pd
+
+    rows = [(f"c{i % 5}", "hold" if i % 7 == 0 else "reject", DAY + timedelta(seconds=i // 100), i) for i in range(2000)]
+    columns = ["candidate_id", "decision", "reviewed_at", "arrived"]
+    log, state = R.ReviewLog(60.0), Calls()
+    log.init(state)
+    out = pd.concat(log.handleInputRows(("r",), iter([pd.DataFrame(rows[1000:], columns=columns), pd.DataFrame(rows[:1000], columns=columns)]), None))
+    assert out["sequence"].tolist() == list(range(1, 2001)) and out["arrived"].tolist() == list(range(2000))
+    assert state.calls == 6 and len(state.timers) == 20 and state.value[0] == 2000
+    assert {k: v[1] for k, v in state.held.items()} == {(f"c{i}",): 1996 + i for i in range(5)}
+    late = [("c0", "hold", DAY, 2000), (None, "hold", DAY, 2001), ("c9", "hold", DAY + timedelta(days=1), 2002), ("c8", "hold", None, 2003)]
+    out = pd.concat(log.handleInputRows(("r",), iter([pd.DataFrame(late, columns=columns)]), None))
+    assert out["reason"].tolist() == ["earlier_than_last", "incomplete", None, "incomplete"]
+    assert out["sequence"].tolist() == [pd.NA, pd.NA, 2001, pd.NA] and out["event_id"].notna().tolist() == [False, False, True, False]
+
+
 JOBS = [("j1", "queued", 1), ("j2", "queued", 4), ("j3", "running", 2), ("j4", "queued", 1)]
 
 
