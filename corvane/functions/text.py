@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 KEPT = "0-9a-z가-힣"
+#: All other characters, as ranges: Java matches the negated class several times slower.
+OTHERS = r"[\x00-\x2F\x3A-\x60\x7B-\x{ABFF}\x{D7A4}-\x{10FFFF}]+"
 
 
 def fold(c: Column) -> Column:
@@ -40,12 +42,12 @@ def composed(c: Column) -> Column:
 
 def search_text(c: Column) -> Column:
     """Folded text in which every run of other characters is one space."""
-    return F.trim(F.regexp_replace(fold(c), f"[^{KEPT}]+", " "))
+    return F.trim(F.regexp_replace(fold(c), OTHERS, " "))
 
 
 def canonical_text(c: Column) -> Column:
     """Folded text without any other characters."""
-    return F.regexp_replace(fold(c), f"[^{KEPT}]+", "")
+    return F.regexp_replace(fold(c), OTHERS, "")
 
 
 def query_terms(query: str) -> list[str]:

@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 #: Bytes below which a table is dealt out evenly after the scan.
 SMALL = 256 << 20
+#: Bytes of a file that one task gets where a larger table is dealt out, about.
+PIECE = 16 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores. Small files often have one row group, which one task would read and then work on
-    alone; a large table has row groups enough and is left as it is. Filters and columns still reach the scan."""
+    """A table over all cores. A row group is read by one task, which would then work on it alone. Small files often have one;
+    so may large ones, which the number of rows in each split of the scan tells: it comes from the footers. A large table with
+    row groups enough is left as it is. Filters and columns still reach the scan."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if size < SMALL:
+        return df.repartition(cores)
+    splits = df.select(F.spark_partition_id().alias("split")).groupBy("split").agg(F.count("*").alias("n"))
+    most, rows = splits.agg(F.max("n"), F.sum("n")).first()
+    uneven = rows and most * cores > 2 * rows
+    return df.repartition(max(cores, -(-size // PIECE))) if uneven else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
