@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from corvane.functions import text as X
 from corvane.operators.ranking import best_per_group
+from corvane.storage import materialise
 
 #: Types by folder, and the marks of a type in names and texts.
 FOLDER_TYPES = {
@@ -127,6 +128,9 @@ def normalise_sources(documents: DataFrame) -> DataFrame:
     )
     stem = F.regexp_replace(key, r"\.(pdf|json)$", "")
     keyed = typed.withColumn("link", F.when(F.col("kind") == "pdf", F.regexp_replace(X.fold(X.nfc(F.col("name"))), r"\.pdf$", "")).otherwise(stem))
+    # Six branches below read these rows: files are parsed once, and only JSON bodies are kept.
+    body = F.when(F.col("kind") == "json", F.col("content")).alias("content")
+    keyed = materialise(keyed.select("publication_type", "kind", "link", "path", "name", "checksum", "metadata", body), "sources-keyed")
     js = keyed.filter("kind = 'json'")
     first = best_per_group(js, ["publication_type", "link"], [F.col("path")], ["path", "checksum", "content", "metadata"])
     paths = js.groupBy("publication_type", "link").agg(F.array_sort(F.collect_list("path")).alias("json_paths"))

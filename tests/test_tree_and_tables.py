@@ -181,3 +181,24 @@ def test_other_characters_are_matched_by_ranges(spark):
     got = df.select(X.search_text(F.col("s")).alias("a"), X.canonical_text(F.col("s")).alias("b"), *want)
     assert all(r[0] == r[2] and r[1] == r[3] for r in got.collect())
     assert "[^" not in X.OTHERS
+
+
+def test_files_are_parsed_once_for_publications(spark):
+    """Each branch of the joins parsed all files again before."""
+    from pyspark.sql import functions as F
+
+    from corvane.sources import files
+
+    parsed = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        parsed.add(1)
+        return text
+
+    rows = [(f"brief/{i}.{ext}", f"{i}.{ext}", kind, body, f"c{i}{ext}") for i in range(20) for ext, kind, body in (("json", "json", '{"full_text": "a"}'), ("pdf", "pdf", "%PDF"))]
+    df = spark.createDataFrame(rows, "path string, name string, kind string, content string, checksum string")
+    df = df.withColumns({"failure": F.lit(None).cast("string"), "metadata": F.create_map(F.lit("filename"), "name")})
+    found = files.normalise_sources(df.withColumn("checksum", seen.asNondeterministic()("checksum"))).select("local_path", "pdf_path", F.size("json_paths").alias("n"))
+    assert sorted(map(tuple, found.collect())) == sorted((f"brief/{i}.pdf", f"brief/{i}.pdf", 1) for i in range(20))
+    assert parsed.value == 40
