@@ -52,7 +52,7 @@ def _piece_maker(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, STEP):
-                texts = [t or "" for t in batch.column(1).slice(i, STEP).to_pylist()]
+                texts = batch.column(1).slice(i, STEP).fill_null("")
                 docs = batch.column(0).slice(i, STEP)
                 owner, piece, start, length, crc, nth, kept = [], [], [], [], [], [], []
                 for at, raw in enumerate(encoder.encode(texts)):

@@ -21,12 +21,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,13 @@ _NULL_ID = -(1 << 63)
 _WORDWISE_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 _WORDWISE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: A word with ASCII marks behind an ASCII letter or digit; a word that no step of these makes longer or shorter: lower-cased
+#: ASCII without control characters, and Latin letters of two bytes but the dotted I.
+_TAIL = re.compile(rb"(.*[A-Za-z0-9])[!-/:-@\[-`{-~]+", re.DOTALL)
+_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+")
+#: Words that are encoded as one text.
+_TOGETHER = 200
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -66,9 +75,10 @@ class Encoder:
     """Encodes texts word by word, each word once, where the tokenizer allows it; else whole texts.
 
     A tokenizer allows it if it drops white space, never joins across it, folds case, and ends a piece where
-    letters end: then a text's ids are those of its words in order, and those of a word with a comma
-    or full stop after a letter are the word's and then the mark's. Texts that may hold special
-    tokens, whose case matters, are encoded whole.
+    letters end: then a text's ids are those of its words in order, and those of a word with marks
+    after a letter or digit are the word's and then the marks'. Texts that may hold special
+    tokens, whose case matters, are encoded whole. Different words of a batch are found in Arrow, so Python
+    looks at each once a batch.
     """
 
     def __init__(self, tokenizer: str) -> None:
@@ -82,46 +92,88 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        vocabulary, suffix = self.tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix") or ""
+        #: The bytes that each id stands for.
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.lengths[list(vocabulary.values())] = [len(t.removesuffix(suffix)) for t in vocabulary]
         special = [t["content"] for t in spec.get("added_tokens") or []]
         self.wordwise = _wordwise(spec) and all(t.startswith("<|") for t in special)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def learn(self, new: set[bytes]) -> None:
+    def learn(self, new: list[bytes]) -> None:
+        """The ids of words that are new, each looked up once without the marks behind it."""
         if len(self.words) > MAX_WORDS:
             self.words.clear()
-        tails = [w for w in new if w[-1:] in (b",", b".") and w[-2:-1].isalpha()]
-        bare = new.difference(tails).union([w[:-1] for w in tails], (b",", b"."))
+        tails = {w: m.end(1) for w in new if (m := _TAIL.fullmatch(w))}
+        bare = {w[:at] for w, at in tails.items()}.union((w[at:] for w, at in tails.items()), (w for w in new if w not in tails))
         bare = [w for w in bare if w not in self.words]
-        if bare:
-            # Every id carries the number of the word it comes from, so nothing is read from the ids themselves.
+        plain = [w for w in bare if _PLAIN.fullmatch(w)]
+        for i in range(0, len(plain), _TOGETHER):
+            self._learn_plain(plain[i : i + _TOGETHER])
+        self._learn_apart([w for w in bare if w not in self.words])
+        for word, at in tails.items():
+            self.words[word] = self.words[word[:at]] + self.words[word[at:]]
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """Words whose bytes the normaliser keeps in number, as one text: an id stands for as many bytes as its token
+        has characters, which tells where a word ends. Nothing is learnt if that does not come out even."""
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.int64)
+        ends = np.cumsum(self.lengths[ids])
+        wanted = np.cumsum([len(w) for w in words])
+        at = np.searchsorted(ends, wanted)
+        if len(ends) and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+            self._remember(words, ids, at + 1)
+
+    def _learn_apart(self, words: list[bytes]) -> None:
+        """Words one by one: every id carries the number of the word it comes from, so nothing is read from the ids."""
+        if words:
             found = self.tokenizer.encode(
-                [w.decode("utf-8", "replace") for w in bare], is_pretokenized=True, add_special_tokens=False
+                [w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False
             )
-            raw, size = np.array(found.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
-            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(bare))) * size
-            starts = [0, *ends.tolist()]
-            self.words.update(zip(bare, [raw[s:e] for s, e in zip(starts, starts[1:])], strict=True))
-        for word in tails:
-            self.words[word] = self.words[word[:-1]] + self.words[word[-1:]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of the encoder's width."""
+            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)))
+            self._remember(words, np.array(found.ids, np.int64), ends)
+
+    def _remember(self, words: list[bytes], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, bounds = ids.astype(self.kind).tobytes(), (ends * np.dtype(self.kind).itemsize).tolist()
+        self.words.update(zip(words, [raw[s:e] for s, e in zip([0, *bounds], bounds)], strict=True))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as bytes of the encoder's width. Texts are not null."""
         if not self.wordwise:
-            return [self.whole(t) for t in texts]
-        split = [None if "<|" in t else t.encode("utf-8", "replace").lower().split() for t in texts]
-        # One look-up a word; None marks words that are new.
-        get = self.words.get
-        found = [None if words is None else list(map(get, words)) for words in split]
-        behind = [i for i, ids in enumerate(found) if ids and None in ids]
-        if behind:
-            self.learn({w for i in behind for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-            for i in behind:
-                found[i] = [self.words[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-        return [
-            self.whole(text) if ids is None else b"".join(ids) for text, ids in zip(texts, found, strict=True)
-        ]
+            return [self.whole(t) for t in (texts.to_pylist() if isinstance(texts, pa.Array) else texts)]
+        if not isinstance(texts, pa.Array):
+            texts = pa.array([t.encode("utf-8", "replace") for t in texts], pa.string())
+        special = pc.match_substring(texts, "<|")
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        # One look-up for each different word; None marks words that are new.
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        ids = list(map(self.words.get, names))
+        if None in ids:
+            self.learn([w for w, i in zip(names, ids, strict=True) if i is None])
+            ids = [self.words[w] if i is None else i for w, i in zip(names, ids, strict=True)]
+        taken = pa.array(ids, pa.binary()).take(coded.indices)
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(taken).to_numpy(zero_copy_only=False), dtype=np.int64)])
+        bounds = ends[words.offsets.to_numpy()].tolist()
+        raw = memoryview(taken.buffers()[2] or b"")
+        found = [bytes(raw[s:e]) for s, e in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            found[i] = self.whole(texts[i].as_py())
+        return found
+
+
+def slices(texts: pa.Array, size: int = 1 << 23) -> Iterator[pa.Array]:
+    """A column in slices of about ``size`` bytes of text, one text at least; nulls are empty."""
+    texts = texts.fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts.slice(first, last - first)
+        first = last
 
 
 def _encoder(tokenizer: str) -> Encoder:
@@ -137,7 +189,7 @@ def _put(files: fs.FileSystem, path: str, data: bytes) -> None:
     files.move(temporary, path)
 
 
-def _writer(uri: str, tokenizer: str, end_id: int, step: int = 256):
+def _writer(uri: str, tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         files, root = fs.FileSystem.from_uri(uri)
@@ -150,9 +202,8 @@ def _writer(uri: str, tokenizer: str, end_id: int, step: int = 256):
         out = None
         for batch in batches:
             ids.append(batch.column(0))
-            texts = batch.column(1)
-            for i in range(0, len(texts), step):
-                encoded = encoder.encode([t or "" for t in texts.slice(i, step).to_pylist()])
+            for texts in slices(batch.column(1)):
+                encoded = encoder.encode(texts)
                 sizes += [len(e) + len(end) for e in encoded]
                 out = out or files.open_output_stream(temporary)
                 out.write(b"".join([e + end for e in encoded]))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -363,6 +365,45 @@ def test_encoder_forgets(monkeypatch):
         assert encoder.encode([text, texts[0]]) == [encoder.whole(text), encoder.whole(texts[0])]
 
 
+def test_encoder_gives_each_word_to_the_library_once():
+    """However many marks stand behind a word, and however often it comes."""
+    encoder, given = token_files.Encoder("word_bpe_49k.json"), []
+
+    class Counting:
+        def __init__(self, library):
+            self.library = library
+
+        def encode(self, words, **how):
+            given.extend(words.split(" ") if isinstance(words, str) else words)
+            return self.library.encode(words, **how)
+
+    texts = ["Ever?! ever... (ever ever", "ever!! 12%, 12, caña, caña don't!! d'' \u0301a,", ""]
+    want = [encoder.whole(t) for t in texts]
+    encoder.tokenizer = Counting(encoder.tokenizer)
+    assert encoder.encode(texts) == want and encoder.encode(texts[::-1]) == want[::-1]
+    assert len(given) == len(set(given)) and given.count("ever") == 1
+
+
+def test_encoder_takes_words_apart_where_bytes_do_not_come_out_even():
+    """Words in one text and words one by one have the same ids; lengths that are wrong are noticed."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcxyzéñßŸ19'.<!") for _ in range(rng.randrange(1, 12))).lower().encode() for _ in range(3000)]
+    together, wrong = token_files.Encoder("word_bpe_49k.json"), token_files.Encoder("word_bpe_49k.json")
+    wrong.lengths = wrong.lengths + (np.arange(len(wrong.lengths)) % 7 == 0)
+    wrong._learn_plain(words[:200])
+    assert not wrong.words
+    text = [b" ".join(words).decode()]
+    assert together.encode(text) == wrong.encode(text) == [together.whole(text[0])]
+
+
+def test_slices_take_every_text_once():
+    texts = pa.array([None, "", "a" * 50, "é", None, "b" * 7, "c" * 7])
+    for size in (1, 8, 60, 1000):
+        got = list(token_files.slices(texts.slice(1), size))
+        assert [t for part in got for t in part.to_pylist()] == ["", "a" * 50, "é", "", "b" * 7, "c" * 7]
+        assert all(len(part) == 1 or sum(len(t.encode()) for t in part.to_pylist()) <= size for part in got)
+
+
 # 5. Substrings
 
 
