@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.functions import text as X
+from corvane.sources.tables import pieces
 from corvane.storage import materialise
 
 
+#: Bytes of pages that are counted in one task, about: each page makes a row for every question that it shares a token with.
+PAGES = 4 << 20
 #: Members of a class that meet those of another in one row, about.
 MEMBERS = 1 << 10
 
@@ -61,9 +64,13 @@ def near_sets(classes: DataFrame, least: float) -> DataFrame:
 
 def page_proposals(questions: DataFrame, pages: DataFrame, top: int) -> DataFrame:
     """The pages that share most tokens with each question: (question, page, hits, place). Both sides have an id and
-    ``tokens``; pages have ``size``. Shared tokens are counted after an equi-join on tokens."""
+    ``tokens``; pages have ``size``. Shared tokens are counted after an equi-join on tokens. Pages are dealt out in pieces first,
+    equal ones together: where the questions are small enough to be sent to them, all of a page is counted in the task that
+    has it, a task counts its piece, however many there are, and only the best of each piece meet."""
     asked = questions.select("question", F.explode(F.array_distinct("tokens")).alias("token"))
-    held = pages.select("page", "size", F.explode(F.array_distinct("tokens")).alias("token"))
+    sets = pages.select("page", "size", F.array_distinct("tokens").alias("tokens"))
+    dealt = sets.repartition(pieces(pages, PAGES), "page", "size")
+    held = dealt.select("page", "size", F.explode("tokens").alias("token"))
     hits = held.join(asked, "token").groupBy("question", "page", "size").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("question").orderBy(F.desc("hits"), F.desc("size"), "page")
     return hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top)

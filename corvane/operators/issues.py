@@ -102,7 +102,9 @@ def question_flags(questions: DataFrame, endings: Sequence[str], corpus_tokens:
     ask, answer = X.content_tokens(F.col("question")), X.content_tokens(F.col("answer"))
     rows = questions.withColumns({"__ask": ask, "__answer": answer})
     each = rows.filter("abstention").select("id", F.explode("__ask").alias("token"))
-    held = each.join(corpus_tokens.distinct(), "token").groupBy("id").agg(F.count("*").alias("__held"))
+    # Only what is asked for is kept of the corpus' tokens, before they meet.
+    present = corpus_tokens.join(each.select("token").distinct(), "token", "left_semi").distinct()
+    held = each.join(present, "token").groupBy("id").agg(F.count("*").alias("__held"))
     joined = rows.join(held, "id", "left")
     ends = F.lit(False)
     for e in endings:

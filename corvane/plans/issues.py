@@ -13,6 +13,7 @@ from corvane.plans.catalogue import register
 from corvane.plans.scoring import _TOK
 from corvane.plans.signals import _CANON
 from corvane.sources.tables import spread, table
+from corvane.storage import materialise
 
 
 @register(
@@ -130,11 +131,13 @@ def question_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = items.select(k.alias("id"), part(1).alias("question"), part(2).alias("answer"), (k % 5 == 0).alias("abstention"))
     docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     front = A.is_front_matter(F.col("text"), ("license", "reserved"))
-    pages = docs.filter(~front).select(F.col("doc_id").alias("page"), F.length("text").alias("size"), X.content_tokens(F.col("text")).alias("tokens"))
+    sets = docs.select("doc_id", F.length("text").alias("size"), front.alias("front"), X.content_tokens(F.col("text")).alias("tokens"))
+    sets = materialise(sets, "audit-tokens")
+    pages = sets.filter("NOT front").select(F.col("doc_id").alias("page"), "size", "tokens")
     asked = items.select(k.alias("question"), X.content_tokens(F.col("text")).alias("tokens"))
     proposed = Q.page_proposals(asked, pages, 3).join(asked, "question").filter(2 * F.col("hits") >= F.size("tokens"))
     accepted = proposed.select(F.col("question").alias("id"), F.col("page").alias("doc_id")).join(docs, "doc_id").select("id", "text")
-    tokens = docs.select(F.explode(X.content_tokens(F.col("text"))).alias("token"))
+    tokens = sets.select(F.explode("tokens").alias("token"))
     audit = A.audit_questions(questions, accepted, tokens, ["the", "of"], grounded=0.9, near=0.5)
     return audit.select(
         "id",

@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 SMALL = 256 << 20
 #: Bytes of a file that one task gets where a larger table is dealt out, about.
 PIECE = 16 << 20
+#: Pieces of a table; estimates that are none.
+MOST_PIECES, UNKNOWN = 1 << 15, 1 << 50
+
+
+def pieces(df: DataFrame, size: int) -> int:
+    """The number of pieces of about ``size`` bytes of a table by the planner's estimate: one a core at least, ``MOST_PIECES`` at
+    most. Where the planner knows no size, the number of shuffle partitions."""
+    total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if total >= UNKNOWN:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(MOST_PIECES, max(df.sparkSession.sparkContext.defaultParallelism, -(-total // size)))
 
 
 def spread(df: DataFrame) -> DataFrame:
