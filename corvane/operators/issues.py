@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as X
 from corvane.functions import urls as U
 from corvane.operators.corpus import ocr_decision
+from corvane.storage import materialise
 
 #: Statuses whose pages may be recognised again.
 OCR_STATUSES = ("low_text", "corrupt_text", "orphan_pdf")
@@ -102,8 +103,9 @@ def question_flags(questions: DataFrame, endings: Sequence[str], corpus_tokens:
     ask, answer = X.content_tokens(F.col("question")), X.content_tokens(F.col("answer"))
     rows = questions.withColumns({"__ask": ask, "__answer": answer})
     each = rows.filter("abstention").select("id", F.explode("__ask").alias("token"))
-    # Only what is asked for is kept of the corpus' tokens, before they meet.
-    present = corpus_tokens.join(each.select("token").distinct(), "token", "left_semi").distinct()
+    # Only what is asked for is kept of the corpus' tokens, before they meet; stored, so that its size is known when that is planned.
+    asked = materialise(each.select("token").distinct(), "asked-tokens")
+    present = corpus_tokens.join(asked, "token", "left_semi").distinct()
     held = each.join(present, "token").groupBy("id").agg(F.count("*").alias("__held"))
     joined = rows.join(held, "id", "left")
     ends = F.lit(False)
