@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 KEPT = "0-9a-z가-힣"
 #: All other characters, as ranges: Java matches the negated class several times slower.
 OTHERS = r"[\x00-\x2F\x3A-\x60\x7B-\x{ABFF}\x{D7A4}-\x{10FFFF}]+"
+#: Characters for which lower case and sharp s are not enough: combining marks, single letters of Hangul syllables, and
+#: letters that NFC and full case folding make kept ones.
+UNSETTLED = "[\u0149\u017f\u01f0\u0300-\u036f\u1100-\u11ff\u1e96-\u1e9a\ufb00-\ufb06]"
 
 
 def fold(c: Column) -> Column:
@@ -50,6 +53,11 @@ def canonical_text(c: Column) -> Column:
     return F.regexp_replace(fold(c), OTHERS, "")
 
 
+def canonical_exact(c: Column) -> Column:
+    """As :func:`canonical_text`, of any text. Only rows for which the form makes a difference go to Python."""
+    return F.regexp_replace(F.coalesce(fold_exact(F.when(c.rlike(UNSETTLED), c)), fold(c)), OTHERS, "")
+
+
 def query_terms(query: str) -> list[str]:
     """Distinct terms of a query, in order of first use."""
     folded = unicodedata.normalize("NFC", query).casefold()

@@ -83,10 +83,8 @@ def dedupe_url(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("source_dedupe_title_ratio")
 def dedupe_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources in priority order, dropped if near an earlier kept title."""
-    sources = rank_all(_sources(spark, sf_dir), _order())
-    pairs = G.title_pairs(sources, "page_id", "title")
-    return G.greedy_dedupe(sources, pairs, "page_id", "rank")
+    """Sources in priority order, dropped if equal or near to an earlier kept title."""
+    return G.dedupe_titles(rank_all(_sources(spark, sf_dir), _order()), "page_id", "title", "rank")
 
 
 @register("source_priority_order", f"WITH {_SOURCES} SELECT page_id, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM ranked")
